@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_lists, decontamination, importance, language_id, line_dedup, packing, url_filters, warc_zip
+from . import decision_lists, decontamination, deleted_interpolation, importance, jaccard_join, language_id, line_dedup, packing, url_filters, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op5_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_lists.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_warc_zip, op3_importance_resampling, op5_decision_lists, op6_best_fit_packing, op8_decontamination, op9_language_id, op10_line_dedup)
+    for f in (op1_url_filters, op2_warc_zip, op3_importance_resampling, op4_deleted_interpolation, op5_decision_lists, op6_best_fit_packing, op7_jaccard_join, op8_decontamination, op9_language_id, op10_line_dedup)
 }
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
