@@ -1,51 +1,19 @@
-"""Helpers that the corpus operators share: the shared folder, written tables, text expressions."""
+"""Text expressions that the corpus operators share, and the shared folder's helpers."""
 
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words (0x20 and 0x09-0x0D), as a Java character class.
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is absent, a temporary folder is used, but only in local mode: on a cluster
-    a machine-local folder would lose data, so that raises ValueError.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veinstone-"))
-    return sc.getCheckpointDir().rstrip("/")
-
+from ..storage import drop_written, new_path, shared_dir, written
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veinstone/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACE_CLASS", "ascii_lower", "crc32_mod", "drop_written", "let", "new_path", "shared_dir", "words", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Delete all that this library wrote to the shared folder. Results not yet read are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veinstone")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: ASCII white space that separates words (0x20 and 0x09-0x0D), as a Java character class.
+SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
