@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .text import chunks, let, normalize
 
 SKETCH_SIZE, SHINGLE = 256, 5
@@ -29,18 +30,23 @@ def feature_hash(values: Column) -> Column:
     return F.sha2(F.array_join(values, "\n"), 256)
 
 
-def _blake(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for lists in it:
-        flat = lists.flatten().to_pylist()
-        got = [hashlib.blake2b(s.encode("utf-8", "ignore"), digest_size=8).hexdigest() for s in flat]
-        sizes = [0 if n is None else n for n in lists.value_lengths().to_pylist()]
-        ends = [0]
-        for n in sizes:
-            ends.append(ends[-1] + n)
-        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.string()))
+def _blake(size: int, shingle: int):  # noqa: ANN202
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for parts in it:
+            rows = []
+            for x in parts.to_pylist():
+                t = [w for w in (x or "").split(" ") if w]
+                n = max(0, len(t) - shingle + 1)
+                least = sorted({hashlib.blake2b(_SEP.join(t[i : i + shingle]).encode("utf-8", "ignore"), digest_size=8).hexdigest() for i in range(n)})[:size]
+                rows.append({"algorithm": "bottom_k_blake2b_64", "shingle_size": shingle, "token_count": len(t), "shingle_count": n, "retained_hash_count": len(least), "hashes": least})
+            kind = pa.struct([("algorithm", pa.string()), ("shingle_size", pa.int32()), ("token_count", pa.int32()), ("shingle_count", pa.int32()), ("retained_hash_count", pa.int32()), ("hashes", pa.list_(pa.string()))])
+            yield pa.array(rows, kind)
 
+    run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
 
-_blake.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
+
+_SKETCH = "struct<algorithm:string,shingle_size:int,token_count:int,shingle_count:int,retained_hash_count:int,hashes:array<string>>"
 
 
 def shingle_sketch(text: Column, shingle: int = SHINGLE, size: int = SKETCH_SIZE, algorithm: str = "blake2b_64", parity: bool = False) -> Column:
@@ -51,6 +57,14 @@ def shingle_sketch(text: Column, shingle: int = SHINGLE, size: int = SKETCH_SIZE
     """
     if shingle < 2 or size < 1:
         raise ValueError("a shingle has two tokens or more and a sketch one hash or more")
+    if algorithm == "blake2b_64":
+        if parity:
+            raise ValueError("overlapping chunks are for sha256_64 only")
+        ship_package(SparkSession.active())
+        # the argument has no lambda: Spark does not plan Python functions over higher-order expressions of a file scan
+        return F.arrow_udf(_blake(size, shingle), _SKETCH)(normalize(text, None))
+    if algorithm != "sha256_64":
+        raise ValueError(f"unknown algorithm {algorithm}")
     if parity:
         toks = F.flatten(F.transform(chunks(F.coalesce(text, F.lit(""))), lambda c: F.filter(F.split(normalize(c, None), " "), lambda t: t != "")))
     else:
@@ -61,12 +75,7 @@ def shingle_sketch(text: Column, shingle: int = SHINGLE, size: int = SKETCH_SIZE
         return F.struct(F.size(t).alias("n"), F.when(F.size(t) >= shingle, every).otherwise(F.array().cast("array<string>")).alias("s"))
 
     parts = let(toks, shingles)
-    if algorithm == "sha256_64":
-        hashes = F.transform(parts["s"], lambda s: F.substring(F.sha2(s, 256), 1, 16))
-    elif algorithm == "blake2b_64":
-        hashes = F.arrow_udf(_blake, "array<string>")(parts["s"])
-    else:
-        raise ValueError(f"unknown algorithm {algorithm}")
+    hashes = F.transform(parts["s"], lambda s: F.substring(F.sha2(s, 256), 1, 16))
     least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
     return F.struct(
         F.lit(f"bottom_k_{algorithm}").alias("algorithm"), F.lit(shingle).alias("shingle_size"), parts["n"].alias("token_count"),
