@@ -63,7 +63,10 @@ def zip_members(f, size: int) -> list[Member]:
     tail_n = min(size, 65_557)
     tail = _read_at(f, size - tail_n, tail_n)
     end = tail.rfind(_EOCD)
-    if end < 0 or len(tail) - end < 22:
+    # the signature may also stand in the archive's comment: the true record's comment ends the file
+    while end >= 0 and (len(tail) - end < 22 or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+        end = tail.rfind(_EOCD, 0, end)
+    if end < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack_from("<10xHII", tail, end)[0:3]
     if count == 0xFFFF or length == 0xFFFFFFFF or start == 0xFFFFFFFF:
