@@ -58,17 +58,23 @@ def pair_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mixed(before * _MULT + h)
 
 
+def by_rank(counts: np.ndarray) -> np.ndarray:
+    """Positions of a chunk's words, frequent ones first, ties in order."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
 def _requests(chunk: int, ids: list, tokens: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """A chunk's rows: distinct words (first buckets) and pairs with counts, then its token stream.
 
-    The stream says for each token which of the chunk's sorted words it is; pairs follow from it.
+    The stream gives each token's word by its rank in the chunk, frequent words first, so that it packs
+    well; the words themselves come back with their counts, and pairs follow from both.
     """
     sizes = np.array([len(t) for t in tokens], np.int64)
     folds = np.array([fold(i) for i in ids], np.int64)
     h = np.concatenate(tokens)
     first = np.cumsum(sizes) - sizes
     train, deleted = (np.repeat(x, sizes) for x in (folds != HELD_OUT, folds == DELETED))
-    rows, stream = [], b""
+    rows, stream, counts = [], b"", b""
     for part, keys in enumerate((h, pair_keys(h, first))):
         own, back = np.unique(keys, return_inverse=True)
         n = np.bincount(back[train], minlength=len(own)).astype(np.uint32)
@@ -79,11 +85,13 @@ def _requests(chunk: int, ids: list, tokens: list[np.ndarray], buckets: int) ->
             if s.stop > s.start:
                 rows.append((chunk, part * buckets + b, pack(own[s], True), pack(n[s]), pack(d[s]), b""))
         if part == 0:
-            stream = pack(back.astype(np.uint32))
-            words = pack(own, True)
+            here = np.bincount(back, minlength=len(own))
+            rank = np.empty(len(own), np.uint32)
+            rank[by_rank(here)] = np.arange(len(own), dtype=np.uint32)
+            stream, counts = pack(rank[back]), pack(here.astype(np.uint32))
     known = [i is not None for i in ids]
     numbers = np.array([i if i is not None else 0 for i in ids], np.int64)
-    rows.append((chunk, -1 - chunk % (2 * buckets), numbers.tobytes() + np.array(known, np.uint8).tobytes(), sizes.tobytes(), stream, words))
+    rows.append((chunk, -1 - chunk % (2 * buckets), numbers.tobytes() + np.array(known, np.uint8).tobytes(), sizes.tobytes(), stream, counts))
     return _table(rows)
 
 
@@ -106,7 +114,7 @@ def scan(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
 def _add_up(buckets: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
-        """One bucket: the sums of all chunks' counts, back to each chunk in the order of its keys."""
+        """One bucket: the sums of all chunks' counts, back to each chunk in the order of its keys (words with them)."""
         rows = list(zip(*(c.to_pylist() for c in table.columns), strict=True))
         if not rows or rows[0][1] < 0:
             return table
@@ -114,10 +122,10 @@ def _add_up(buckets: int):  # noqa: ANN202
         own, back = np.unique(np.concatenate(keys), return_inverse=True)
         sums = [np.bincount(back, np.concatenate([unpack(r[k], "u4") for r in rows]), len(own)).astype(np.uint64) for k in (3, 4)]
         out, at = [], 0
-        for (chunk, bucket, *_), k in zip(rows, keys, strict=True):
+        for (chunk, bucket, asked, *_), k in zip(rows, keys, strict=True):
             here = back[at : at + len(k)]
             at += len(k)
-            out.append((chunk, bucket, pack(sums[0][here]), pack(sums[1][here]), b"", b""))
+            out.append((chunk, bucket, pack(sums[0][here]), pack(sums[1][here]), asked if bucket < buckets else b"", b""))
         if rows[0][1] < buckets:
             # how many words training has seen here
             out.append((-1, rows[0][1], np.array([(sums[0] > 0).sum()], np.int64).tobytes(), b"", b"", b""))
@@ -145,11 +153,12 @@ def _assemble(buckets: int):  # noqa: ANN202
         if rows[0][0] < 0:
             types = int(sum(np.frombuffer(r[2], np.int64)[0] for r in rows))
             return pa.Table.from_pylist([{"types": types, "tokens": 0, "deleted": 0}], schema=schema)
-        (_, _, docs, sizes, stream, words), *found = rows
+        (_, _, docs, sizes, stream, counts), *found = rows
         size = np.frombuffer(sizes, np.int64)
         ids, known = np.frombuffer(docs[: 8 * len(size)], np.int64), np.frombuffer(docs[8 * len(size) :], np.uint8)
         folds = np.array([fold(int(i) if k else None) for i, k in zip(ids, known, strict=True)])
-        own, at = unpack(words, "u8", True), unpack(stream, "u4").astype(np.int64)
+        own = np.concatenate([unpack(r[4], "u8", True) for r in found if r[1] < buckets])
+        at = by_rank(unpack(counts, "u4"))[unpack(stream, "u4")]
         first = np.cumsum(size) - size
         _, back = np.unique(pair_keys(own[at], first), return_inverse=True)
         get = lambda part, k: np.concatenate([unpack(r[k], "u8") for r in found if r[1] // buckets == part]).astype(np.int64)
