@@ -62,7 +62,8 @@ def test_language_id(spark, docs, none):
 def test_importance(spark, docs, none, labels):
     out = importance.resample(docs, labels)
     assert ids(out) == WANT
-    assert sum(r["selected"] for r in out.collect()) in (6, 7)
+    # equal rows share a key: both or neither are in
+    assert sum(r["selected"] for r in out.collect()) in (10, 11)
     assert importance.resample(none, labels).count() == 0
     assert {r["log_weight"] for r in importance.resample(docs, labels.limit(0)).collect()} == {0.0}
 

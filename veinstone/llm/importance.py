@@ -21,7 +21,8 @@ from .common import written
 SLOTS = 10_000
 #: Labelled good documents that the target model is fitted on, at most (those of smallest hash).
 TARGET_SAMPLE = 20_000
-FRACTION, SEED, SMOOTHING = 0.5, 20, 1.0
+#: Share of documents sampled (a little under the share of good ones among labels), seed, smoothing.
+FRACTION, SEED, SMOOTHING = 0.8, 20, 1.0
 _CACHE = 500_000
 
 
