@@ -72,11 +72,12 @@ def _requests(chunk: int, ids: list, tokens: list[np.ndarray], buckets: int) ->
     sizes = np.array([len(t) for t in tokens], np.int64)
     folds = np.array([fold(i) for i in ids], np.int64)
     h = np.concatenate(tokens)
+    tokens.clear()
     first = np.cumsum(sizes) - sizes
     train, deleted = (np.repeat(x, sizes) for x in (folds != HELD_OUT, folds == DELETED))
     rows, stream, counts = [], b"", b""
-    for part, keys in enumerate((h, pair_keys(h, first))):
-        own, back = np.unique(keys, return_inverse=True)
+    for part in (0, 1):
+        own, back = np.unique(pair_keys(h, first) if part else h, return_inverse=True)
         n = np.bincount(back[train], minlength=len(own)).astype(np.uint32)
         d = np.bincount(back[deleted], minlength=len(own)).astype(np.uint32)
         cuts = bucket_cuts(own, buckets, _BITS)
@@ -164,12 +165,14 @@ def _assemble(buckets: int):  # noqa: ANN202
         get = lambda part, k: np.concatenate([unpack(r[k], "u8") for r in found if r[1] // buckets == part]).astype(np.int64)
         word, pair = get(0, 2)[at], get(1, 2)[back]
         # deleted documents: the counts of the others, for words, contexts and pairs
-        gone = np.repeat(folds == DELETED, size)
-        w_left, p_left = word - get(0, 3)[at], pair - get(1, 3)[back]
-        end = np.searchsorted(own, END)
-        c_left = np.empty_like(w_left)
-        c_left[1:], c_left[first] = w_left[:-1], (get(0, 2) - get(0, 3))[end]
-        w, p, c = w_left[gone], p_left[gone], c_left[gone]
+        gone = np.flatnonzero(np.repeat(folds == DELETED, size))
+        w_gone = get(0, 3)
+        w, p = word[gone] - w_gone[at[gone]], pair[gone] - get(1, 3)[back[gone]]
+        del back, found, rows
+        # a token's context is the one before it; a text's start counts as often as an end
+        ends = np.cumsum(size) - 1
+        before = np.where(np.isin(gone, first), ends[np.searchsorted(ends, gone)], gone - 1)
+        c = word[before] - w_gone[at[before]]
         cell = (context_bucket(c) << 40) | (octave(p / np.maximum(c, 1)) << 20) | octave(w / 2.0**40)
         cells, n = np.unique(cell, return_counts=True)
         blob = np.stack([cells, n.astype(np.int64)]).tobytes()
