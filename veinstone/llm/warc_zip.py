@@ -31,6 +31,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MIN_REVISIT = 1000
 #: A package is closed once its record bytes reach this size; a read task fetches about READ_BYTES.
 PACKAGE_BYTES, READ_BYTES = 256 << 20, 4 << 20
+#: Ranges that one reading task fetches, about.
+READ_TASK = 8
 DATE = "2000-01-01T00:00:00Z"
 
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -283,8 +285,10 @@ def read_records(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                     rows.append((number(head["warc-record-id"]), kind, number(head.get("warc-refers-to")), head.get("warc-target-uri"), digest, size) + ((body,) if with_payload else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=schema)
 
-    # ranges are small rows; dealing them out evenly spreads the reads over all executors
-    return record_ranges(manifest).repartition("uri", "start").mapInArrow(read, ddl)
+    # ranges are tiny rows that stand for long reads: a given number of parts keeps Spark from merging them
+    size = manifest.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(manifest.sparkSession.sparkContext.defaultParallelism, size // (READ_TASK * READ_BYTES))
+    return record_ranges(manifest).repartition(parts, "uri", "start").mapInArrow(read, ddl)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
