@@ -227,14 +227,15 @@ def class_links(sets: DataFrame, lists: DataFrame, percent: int = PERCENT) -> Da
         found = known.where(_linked(percent)).select("x", "y")
         links = written(found if links is None else links.unionByName(found), "links")
         labels = written(connected_components(links, "x", "y"), "labels")
-        # distance to the hub: as measured, or at least what the sizes say
+        # distance to the hub: as measured, or at least what the sizes say; only a measured one lets a member go
         far = here.join(known.select(F.col("x").alias("hub"), F.col("y").alias("print"), "distance"), ["hub", "print"], "left")
+        far = far.withColumn("measured", F.col("distance").isNotNull())
         far = far.withColumn("distance", F.coalesce("distance", 1 - F.least("n", "hub_n") / F.greatest("n", "hub_n")))
         named = labels.select(F.col("node").alias("print"), F.col("component").alias("c"))
         far = far.join(named, "print", "left").join(named.select(F.col("print").alias("hub"), F.col("c").alias("hub_c")), "hub", "left")
         far = far.withColumn("out", ~F.coalesce(F.col("c") == F.col("hub_c"), F.lit(False)))
         edge = far.groupBy("token").agg(F.min(F.when(F.col("out"), F.col("distance"))).alias("near")).where("near is not null")
-        lists = written(far.join(edge, "token").where(F.col("out") | (F.col("distance") >= F.col("near") - slack)).select("token", "print", "n", "pos"), "lists")
+        lists = written(far.join(edge, "token").where(F.col("out") | ~F.col("measured") | (F.col("distance") >= F.col("near") - slack)).select("token", "print", "n", "pos"), "lists")
     pairs = block_pairs(lists, labels, percent)
     rest = written(verify(pairs, sets), "compared").where(_linked(percent)).select("x", "y")
     return links.unionByName(rest)
