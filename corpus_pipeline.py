@@ -16,6 +16,9 @@ from veinstone.llm import decontamination, jaccard_join, language_id, line_dedup
 from veinstone.llm.common import written
 from veinstone.llm.queries import table, tokenizer_path
 
+#: Near copies share four fifths of their five-word shingles.
+SHINGLE, PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -41,7 +44,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one with the smallest id stays; so do null ids."""
-    classes = jaccard_join.jaccard_components(docs)
+    classes = jaccard_join.jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
     later = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__vs_later")).distinct()
     return docs.join(later, docs["doc_id"] == later["__vs_later"], "left_anti")
 

@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
-from tests.llm.test_brute import components
+import random
+
+import corpus_pipeline as cp
+from tests.llm.test_brute import components, shingles
 from veinstone.llm import jaccard_join
 
 
@@ -18,3 +21,20 @@ def test_jaccard_keeps_members_that_no_hub_was_compared_with(spark):
     assert want[3] == 0
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_pipeline_drops_five_word_near_copies(spark):
+    """One to six scattered edits in 100 words, against a brute force over five words and four fifths."""
+    rng = random.Random(3)
+    docs = []
+    for f in range(6):
+        text = [f"t{f}.{i}" for i in range(100)]
+        docs.append(text)
+        for edits in range(1, 7):
+            at = set(rng.sample(range(5, 95, 8), edits))
+            docs.append([f"e{f}.{edits}.{i}" if i in at else w for i, w in enumerate(text)])
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    want = components({i: shingles(t, 5) for i, t in rows}, 80)
+    assert want != components({i: shingles(t) for i, t in rows})
+    got = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in got.collect()} == {i for i, c in want.items() if c == i}
