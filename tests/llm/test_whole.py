@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as cp
 from tests.llm.test_brute import components, shingles
-from veinstone.llm import jaccard_join
+from veinstone.llm import decontamination, jaccard_join
 
 
 def test_jaccard_keeps_members_that_no_hub_was_compared_with(spark):
@@ -38,3 +38,14 @@ def test_pipeline_drops_five_word_near_copies(spark):
     assert want != components({i: shingles(t) for i, t in rows})
     got = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r["doc_id"] for r in got.collect()} == {i for i, c in want.items() if c == i}
+
+
+def test_short_item_at_a_documents_end(spark):
+    """A short item's window is no hit of a longer window that the text's end cuts short."""
+    item, long = [f"s{i}" for i in range(8)], [f"l{i}" for i in range(20)]
+    docs = [[*(f"a{i}" for i in range(192)), *item], item, [*item, *(f"b{i}" for i in range(32))], [*(f"c{i}" for i in range(30)), *long[3:18]]]
+    kind = "long, text string"
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], f"item_id {kind}")
+    out = decontamination.judge(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], f"doc_id {kind}"), benchmark)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in out.collect()}
+    assert got == {0: (200, 8, 1, False), 1: (8, 8, 1, True), 2: (40, 8, 1, True), 3: (45, 15, 1, True)}

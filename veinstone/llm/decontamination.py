@@ -34,11 +34,12 @@ def _anchor(w: Column, i: Column, n: int) -> Column:
 
 
 def _hits(w: Column, n: int, keys: list[int], lens: list[int]) -> Column:
-    """Structs (from, past, win) at each position whose n-word anchor is in keys, one for each length."""
+    """Structs (from, past, win) at each position whose n-word anchor is in keys, one for each length that fits."""
     at = F.filter(F.sequence(F.lit(0), F.size(w) - n), lambda i: _anchor(w, i, n).isin(keys))
 
     def spans(i: Column) -> Column:
-        return F.array(*[F.struct(i.alias("from"), (i + k).alias("past"), F.array_join(F.slice(w, i + 1, F.lit(k)), " ").alias("win")) for k in lens])
+        every = F.array(*[F.struct(i.alias("from"), (i + k).alias("past"), F.array_join(F.slice(w, i + 1, F.lit(k)), " ").alias("win")) for k in lens])
+        return F.filter(every, lambda s: s["past"] <= F.size(w))
 
     return F.coalesce(F.flatten(F.transform(F.when(F.size(w) >= n, at), spans)), F.array().cast("array<struct<from:int,past:int,win:string>>"))
 
@@ -59,7 +60,7 @@ def find_hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id") -> DataF
     rows = docs.select(F.col(key).alias(key), F.monotonically_increasing_id().alias("rid"), text_words(F.col("text")).alias("w"))
     hits = F.concat(*found) if found else F.array().cast("array<struct<from:int,past:int,win:string>>")
     rows = rows.select(key, "rid", F.size("w").cast("long").alias("n_words"), F.explode_outer(hits).alias("h")).select(key, "rid", "n_words", "h.from", "h.past", "h.win")
-    got = rows.join(F.broadcast(windows.select("win", "items")), "win", "left")
+    got = rows.withColumn("len", F.col("past") - F.col("from")).join(F.broadcast(windows.select("win", "len", "items")), ["win", "len"], "left")
     ok = F.col("items").isNotNull()
     return got.select(key, "rid", "n_words", F.when(ok, F.col("from")).alias("from"), F.when(ok, F.col("past")).alias("past"), "items")
 
