@@ -499,7 +499,7 @@ def q_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(F.concat(F.lit("lib"), F.col("l_suppkey") % 10).alias("library"), F.concat(F.lit("f"), F.col("l_orderkey")).alias("name"), F.concat(F.lit("call sym.p"), F.col("l_partkey") % 500).alias("call"), F.col("l_quantity").cast("long").alias("score"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("k"))
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("lib"), F.col("l_suppkey") % 10).alias("library"), F.concat(F.lit("f"), F.col("l_orderkey")).alias("name"), F.concat(F.lit("call sym.p"), F.col("l_partkey") % 500).alias("call"), F.col("l_quantity").cast("long").alias("score"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("k"))
     return li.groupBy("library", "name", "k").agg(F.array_sort(F.collect_set("call")).alias("call_targets"), F.max("score").alias("score"))
 
 
