@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.llm import decontamination, jaccard_join, language_id, line_dedup, packing
-from veinstone.llm.common import written
+from veinstone.llm.common import ROW, numbered, written
 from veinstone.llm.queries import table, tokenizer_path
 
 #: Near copies share four fifths of their five-word shingles.
@@ -43,10 +43,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the smallest id stays; so do null ids."""
-    classes = jaccard_join.jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
-    later = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__vs_later")).distinct()
-    return docs.join(later, docs["doc_id"] == later["__vs_later"], "left_anti")
+    """Of each class of similar rows one stays: that of the smallest id, a null id last."""
+    rows = numbered(docs)
+    classes = jaccard_join.jaccard_components(rows, key=ROW, shingle=SHINGLE, percent=PERCENT)
+    named = written(classes.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "doc_id", "component_id"), "classes")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    first = named.groupBy("component_id").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = named.join(first, "component_id").where(F.col(ROW) != F.col("first.row")).select(ROW)
+    return _columns(rows.join(later, ROW, "left_anti"), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

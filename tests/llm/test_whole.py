@@ -49,3 +49,20 @@ def test_short_item_at_a_documents_end(spark):
     out = decontamination.judge(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], f"doc_id {kind}"), benchmark)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in out.collect()}
     assert got == {0: (200, 8, 1, False), 1: (8, 8, 1, True), 2: (40, 8, 1, True), 3: (45, 15, 1, True)}
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    """Null and repeated ids: only the contaminated rows go, and of equal copies one row stays."""
+    bad, clean, copy = (" ".join(f"{k}{i}" for i in range(30)) for k in "bcd")
+    rows = [(None, bad), (None, clean), (1, bad), (1, clean), (2, copy), (2, copy), (None, copy), (3, "")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, `a.b` int")
+    benchmark = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    kept = decontamination.drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    order = lambda x: sorted(x, key=str)
+    assert order((r[0], r[1]) for r in kept.collect()) == order(r for r in rows if r[1] != bad)
+    single = cp.drop_near_duplicates(spark, docs, "")
+    assert single.columns == docs.columns
+    assert order((r[0], r[1]) for r in single.collect()) == order([(1, bad), (1, clean), (2, copy), (3, "")])
+    alone = docs.where("doc_id is null").unionByName(docs.where("doc_id is null"))
+    assert order((r[0], r[1]) for r in cp.drop_near_duplicates(spark, alone, "").collect()) == order((None, x) for x in (bad, clean, copy))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words, written
+from .common import ROW, ascii_lower, numbered, words, written
 
 #: What separates words: ASCII other than 0-9 and a-z after lower-casing.
 SPLITTER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,8 +106,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents; every other row and all columns stay."""
-    bad = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__vs_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__vs_bad"]), "left_anti")
+    rows = numbered(docs)
+    bad = judge(rows, benchmark, ROW).where("contaminated").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
