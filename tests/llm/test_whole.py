@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as cp
 from tests.llm.test_brute import components, shingles
-from veinstone.llm import decontamination, jaccard_join
+from veinstone.llm import decontamination, jaccard_join, language_id
 
 
 def test_jaccard_keeps_members_that_no_hub_was_compared_with(spark):
@@ -66,3 +66,10 @@ def test_rows_of_one_id_are_judged_one_by_one(spark):
     assert order((r[0], r[1]) for r in single.collect()) == order([(1, bad), (1, clean), (2, copy), (3, "")])
     alone = docs.where("doc_id is null").unionByName(docs.where("doc_id is null"))
     assert order((r[0], r[1]) for r in cp.drop_near_duplicates(spark, alone, "").collect()) == order((None, x) for x in (bad, clean, copy))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"w{i % 70}x y{i % 70}z", f"l{i % 70:02}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(docs).labels == [f"l{i:02}" for i in range(70)]
+    assert language_id.per_lang(4) == 500 and language_id.per_lang(70) == 457 and language_id.per_lang(10**6) == 1

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from .common import crc32_mod
 
 TABLE_SIZE = 4096
 WIDTH = 16
-#: The bound of the training sample: documents a language, and languages (the most frequent ones).
-SAMPLE_PER_LANG, MAX_LANGS = 500, 64
+#: The bound of the training sample: documents a language, and in all. Every language has one at least.
+SAMPLE_PER_LANG, SAMPLE = 500, 32_000
 #: Share of correctly predicted calibration rows that the rejection bound may give up, and its ceiling.
 REJECT_QUANTILE, REJECT_CEILING = 0.002, 0.5
 UNKNOWN = "und"
@@ -122,13 +123,18 @@ def train(x: np.ndarray, langs: list[str], epochs: int = 40, rate: float = 4.0,
     return Model(labels, weights.astype(np.float64), bias.astype(np.float64), temperature, reject)
 
 
+def per_lang(langs: int) -> int:
+    """Rows that each of so many languages has in the sample."""
+    return max(1, min(SAMPLE_PER_LANG, SAMPLE // max(1, langs)))
+
+
 def sample_ids(docs: DataFrame) -> DataFrame:
-    """Ids of the training sample: per language the SAMPLE_PER_LANG training documents of smallest hash."""
+    """Ids of the training sample: of every language the per_lang training documents of smallest hash."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod(F.col("doc_id"), FOLDS) != 0))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    most = per_lang(rows.select("lang").distinct().count())
     ranked = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_PER_LANG).join(F.broadcast(top), "lang", "left_semi").select("doc_id", "lang")
+    return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("doc_id", "lang")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -142,10 +148,13 @@ def fit(docs: DataFrame) -> Model:
                 rows = [gram_counts(t.as_py()).astype("<f4").tobytes() for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
-    # at most SAMPLE_PER_LANG * MAX_LANGS ids: a bounded broadcast
+    # at most SAMPLE ids, or one a language where there are more languages
     rows = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("t")).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     got = rows.select("lang", "t").mapInArrow(count, "lang string, x binary").collect()
-    got = sorted((r["lang"], bytes(r["x"])) for r in got)[: SAMPLE_PER_LANG * MAX_LANGS]
+    got = sorted((r["lang"], bytes(r["x"])) for r in got)
+    # repeated rows of a sampled id: no language takes the place of another
+    most = per_lang(len({lang for lang, _ in got}))
+    got = [r for _, rows in groupby(got, lambda r: r[0]) for r in islice(rows, most)]
     x = np.stack([np.frombuffer(b, "<f4") for _, b in got]) if got else np.zeros((0, TABLE_SIZE), np.float32)
     return train(x, [lang for lang, _ in got])
 
