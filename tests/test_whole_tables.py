@@ -36,3 +36,11 @@ def test_callee_expand(spark, lineitem):
     assert len(best) <= 200
     got = {(r["library"], r["name"]): (r["score"], r["caller"]) for r in queries.q_callee_expand(spark, d).collect()}
     assert got == {at: (6 - neg, f) for at, (neg, _, f) in best.items()}
+
+
+def test_link_fallback(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(1, 60)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, f"Supplier#{k:09}") for k in range(1, 4)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {(k, k, "load_library") for k in range(1, 4)} | {(k, s, "fallback") for k in range(4, 60) if k % 4 for s in range(1, 4)}
+    got = [tuple(r) for r in queries.q_link_fallback(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)

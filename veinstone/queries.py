@@ -396,7 +396,7 @@ def q_resource_topk(spark: SparkSession, d: str) -> DataFrame:
     SELECT * FROM h UNION ALL SELECT file, library, 'fallback' FROM (SELECT file FROM f WHERE n_methods > 0 AND file % 50 = 0 AND file NOT IN (SELECT file FROM h)), l UNION ALL SELECT 0, 0, 'none' WHERE false""")
 def q_link_fallback(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    files = table(spark, d, "part").select(k.alias("file"), F.array(F.concat(F.lit("supplier#"), F.lpad((k % 3000).cast("string"), 9, "0"))).alias("stems"), F.when(k % 50 == 0, k % 4).otherwise(0).alias("n_methods"))
+    files = table(spark, d, "part").select(k.alias("file"), F.array(F.concat(F.lit("supplier#"), F.lpad((k % 3000).cast("string"), 9, "0"))).alias("stems"), (k % 4).alias("n_methods"))
     libraries = table(spark, d, "supplier").select(F.col("s_suppkey").alias("library"), rules.library_stem(F.col("s_name")).alias("stem"))
     return linking.link_by_stem(files, libraries)
 
