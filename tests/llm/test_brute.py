@@ -100,7 +100,6 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     got = defaultdict(dict)
     bins = defaultdict(list)
     for r in queries.op6_best_fit_packing(spark, SF).collect():
@@ -160,12 +159,37 @@ def test_tokens_of_odd_words():
 
     path = queries.tokenizer_path()
     tok, fast = Tokenizer.from_file(path), packing.WordTokens(path)
-    tok.encode_special_tokens = True
     odd = "It's don't. WE'LL!! a.b,c 12,3! é. É! é. ﬁx İstanbul Σίσυφος ΑΣ. 日本。 x y  z <|endoftext|> 🙂! ... ,, 1.5% naïve? Å. 'S 't. ab's! ﻿q K."
     for text in (odd, odd.upper(), odd.replace(" ", ""), " \n", ""):
         assert np.frombuffer(fast.encode(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_random_strings():
+    """10,000 strings of added tokens, Unicode spaces, marks, capitals and joiners, as the tokenizer encodes them."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok, fast = Tokenizer.from_file(path), packing.WordTokens(path)
+    assert fast.by_chunk
+    spaces = [" ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u200b", "\u3000", "\ufeff"]
+    marks = ["\u0300", "\u0301", "\u0307", "\u0308", "\u030a", "\u030c", "\u0331", "\u0345", "\u200d", "\ufe0f"]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "don't", "WE'LL", "'s", "H", "T", "W", "Y", "J", "I", "\u0130", "\u03a3", "\u212a", "\ufb01", "\u65e5\u672c", "\U0001f642", "12", "3.4", ".", ",", "!", "?", "...", "word", "Haus", "\x00", *spaces, *marks]
+    rng = random.Random(9)
+    for _ in range(10_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert np.frombuffer(fast.encode(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_other_tokenizers_go_through_encode():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), packing.WordTokens(path)
+    text = " Two  words<|endoftext|>\nand more "
+    assert not own.by_chunk and np.frombuffer(own.encode(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_statistics(spark, texts):
     rows = decision_lists.statistics(queries.table(spark, SF, "documents")).collect()
     for r in rows:

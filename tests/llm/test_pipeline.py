@@ -83,7 +83,6 @@ def test_stages(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     bins, lengths, crc = defaultdict(int), [], {}
     for r in cp.pack_sequences(spark, clean, SF).collect():
         bins[r["sequence_id"]] += r["length"]

@@ -8,6 +8,8 @@ are alike move as one run. The executors then look every piece's rank among its
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,24 +30,52 @@ SEPARATOR = 0
 CACHE_WORDS = 400_000
 
 
+#: Normalizer steps and splitting pattern of tokenizers whose texts may be cut at white space.
+_STEPS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cut_at_space(form: dict) -> bool:
+    """Whether a tokenizer's file says that it drops white space, lower-cases and never joins over a space."""
+    normal, pre, model = form.get("normalizer") or {}, form.get("pre_tokenizer") or {}, form["model"]
+    steps, parts = normal.get("normalizers", []), pre.get("pretokenizers", [])
+    return (
+        model.get("type") == "BPE"
+        and not model.get("dropout")
+        and [x["type"] for x in steps] == _STEPS
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in parts] == ["Split", "ByteLevel"]
+        and parts[0]["pattern"] == {"Regex": _SPLIT}
+        and parts[0]["invert"] is True
+        and parts[0]["behavior"] == "Removed"
+        and not parts[1]["add_prefix_space"]
+        and not parts[1]["use_regex"]
+    )
+
+
 class WordTokens:
-    """Token ids of a text as little-endian 32-bit bytes, by a tokenizer that never joins over white space.
+    """Token ids of a text as little-endian 32-bit bytes, as the tokenizer's own encode gives them.
 
-    White space splits the text into chunks; a chunk's ids are computed once with the tokenizer's own
-    normalizer, pre-tokenizer and model, then kept. Lower-casing A-Z first changes nothing for this
-    vocabulary, whose normalizer lower-cases. Strings of special tokens are ordinary text.
+    Where the tokenizer's file shows that white space always parts tokens, a text is split there, and a
+    chunk's ids are computed once by the tokenizer's normalizer, pre-tokenizer and model, then kept. Texts
+    that hold the string of an added token, and all texts of other tokenizers, go through encode.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        form = json.loads(self.tok.to_str())
+        self.by_chunk = cut_at_space(form)
+        added = form.get("added_tokens") or []
+        self.by_chunk &= not any(x["normalized"] for x in added)
+        self.added = re.compile(b"|".join(re.escape(x["content"].encode()) for x in added)) if added else None
         self.model, self.normal, self.pre = self.tok.model, self.tok.normalizer, self.tok.pre_tokenizer
         self.cache: dict[bytes, bytes] = {}
 
     def _ids(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters are one pre-token and stand for themselves
-            ids = [t.id for t in self.model.tokenize(chunk.decode())]
+            ids = [t.id for t in self.model.tokenize(chunk.decode().lower())]
         elif len(chunk) > 1 and chunk[-1] in b".,!?" and chunk[-2:-1].isalnum():
             # a lone mark after a letter or digit is a pre-token of its own
             return self[chunk[:-1]] + self[chunk[-1:]]
@@ -63,7 +93,10 @@ class WordTokens:
         return got
 
     def encode(self, text: bytes) -> bytes:
-        chunks, cache = text.lower().split(), self.cache
+        if not self.by_chunk or (self.added and self.added.search(text)):
+            return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        # outside ASCII, lower-casing before composing letters would not give the same letters
+        chunks, cache = (text.lower() if text.isascii() else text).split(), self.cache
         try:
             return b"".join([cache[c] for c in chunks])
         except KeyError:
