@@ -72,7 +72,7 @@ def test_stages(spark):
 
     single = written(cp.drop_near_duplicates(spark, lined, SF), "t")
     assert single.columns == docs.columns
-    comp = components({i: shingles(t) for i, t in got.items()})
+    comp = components({i: shingles(t, 5) for i, t in got.items()}, 80)
     assert set(rows(single)) == {i for i, c in comp.items() if c == i}
 
     clean = written(cp.decontaminate(spark, single, SF), "t")

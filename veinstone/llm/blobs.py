@@ -54,9 +54,3 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
-
-
-def bucket_cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Where each of `buckets` equal ranges of the key space begins in sorted keys, and the end."""
-    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .blobs import bucket_cuts, mixed, pack, unpack, word_hashes
+from .blobs import mixed, pack, unpack, word_hashes
 from .common import written
+from .exchange import ROW, Ranges, Row, batch, blocks_of, exchange
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Tokens a chunk and documents a chunk at most; distinct entries a bucket of the hash space.
@@ -36,13 +37,6 @@ CELLS, ROUNDS = 4, 60
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
 _BITS = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_ROW = "chunk long, bucket int, a binary, b binary, c binary, d binary"
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "bucket", "a", "b", "c", "d"])
 
 
 def fold(doc_id: int | None) -> int:
@@ -63,8 +57,8 @@ def by_rank(counts: np.ndarray) -> np.ndarray:
     return np.argsort(-counts.astype(np.int64), kind="stable")
 
 
-def _requests(chunk: int, ids: list, tokens: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A chunk's rows: distinct words (first buckets) and pairs with counts, then its token stream.
+def _requests(chunk: int, ids: list, tokens: list[np.ndarray], ranges: Ranges) -> pa.RecordBatch:
+    """A chunk's rows: distinct words (first part) and pairs with counts, then its token stream.
 
     The stream gives each token's word by its rank in the chunk, frequent words first, so that it packs
     well; the words themselves come back with their counts, and pairs follow from both.
@@ -80,11 +74,7 @@ def _requests(chunk: int, ids: list, tokens: list[np.ndarray], buckets: int) ->
         own, back = np.unique(pair_keys(h, first) if part else h, return_inverse=True)
         n = np.bincount(back[train], minlength=len(own)).astype(np.uint32)
         d = np.bincount(back[deleted], minlength=len(own)).astype(np.uint32)
-        cuts = bucket_cuts(own, buckets, _BITS)
-        for b in range(buckets):
-            s = slice(cuts[b], cuts[b + 1])
-            if s.stop > s.start:
-                rows.append((chunk, part * buckets + b, pack(own[s], True), pack(n[s]), pack(d[s]), b""))
+        rows += [(chunk, group, pack(own[s], True), pack(n[s]), pack(d[s]), b"") for group, s in ranges.split(own, part)]
         if part == 0:
             here = np.bincount(back, minlength=len(own))
             rank = np.empty(len(own), np.uint32)
@@ -92,11 +82,11 @@ def _requests(chunk: int, ids: list, tokens: list[np.ndarray], buckets: int) ->
             stream, counts = pack(rank[back]), pack(here.astype(np.uint32))
     known = [i is not None for i in ids]
     numbers = np.array([i if i is not None else 0 for i in ids], np.int64)
-    rows.append((chunk, -1 - chunk % (2 * buckets), numbers.tobytes() + np.array(known, np.uint8).tobytes(), sizes.tobytes(), stream, counts))
-    return _table(rows)
+    rows.append((chunk, -1 - chunk, numbers.tobytes() + np.array(known, np.uint8).tobytes(), sizes.tobytes(), stream, counts))
+    return batch(rows)
 
 
-def scan(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+def scan(docs: DataFrame, key: str, text: str, ranges: Ranges) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, tokens, held = TaskContext.get().partitionId() << 24, [], [], 0
         for batch in batches:
@@ -105,32 +95,32 @@ def scan(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 tokens.append(np.append(word_hashes(value.as_py()), END))
                 held += len(tokens[-1])
                 if held >= CHUNK or len(ids) >= CHUNK_DOCS:
-                    yield _requests(chunk, ids, tokens, buckets)
+                    yield _requests(chunk, ids, tokens, ranges)
                     chunk, ids, tokens, held = chunk + 1, [], [], 0
         if ids:
-            yield _requests(chunk, ids, tokens, buckets)
+            yield _requests(chunk, ids, tokens, ranges)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(run, _ROW)
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(run, ROW)
 
 
-def _add_up(buckets: int):  # noqa: ANN202
-    def run(table: pa.Table) -> pa.Table:
-        """One bucket: the sums of all chunks' counts, back to each chunk in the order of its keys (words with them)."""
-        rows = list(zip(*(c.to_pylist() for c in table.columns), strict=True))
-        if not rows or rows[0][1] < 0:
-            return table
-        keys = [unpack(r[2], "u8", True) for r in rows]
-        own, back = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(back, np.concatenate([unpack(r[k], "u4") for r in rows]), len(own)).astype(np.uint64) for k in (3, 4)]
-        out, at = [], 0
-        for (chunk, bucket, asked, *_), k in zip(rows, keys, strict=True):
-            here = back[at : at + len(k)]
-            at += len(k)
-            out.append((chunk, bucket, pack(sums[0][here]), pack(sums[1][here]), asked if bucket < buckets else b"", b""))
-        if rows[0][1] < buckets:
-            # how many words training has seen here
-            out.append((-1, rows[0][1], np.array([(sums[0] > 0).sum()], np.int64).tobytes(), b"", b"", b""))
-        return pa.Table.from_batches([_table(out)])
+def _numbers(row: Row, n: int) -> list[np.ndarray]:
+    return [unpack(row[3], "u4"), unpack(row[4], "u4")]
+
+
+def _reply(ranges: Ranges):  # noqa: ANN202
+    def run(row: Row, keys: np.ndarray, sums: list[np.ndarray]) -> Row:
+        """All chunks' counts in the order of the keys; words come back with them."""
+        return row[0], row[1], pack(sums[0]), pack(sums[1]), row[2] if row[1] < ranges.groups else b"", b""
+
+    return run
+
+
+def _types(ranges: Ranges):  # noqa: ANN202
+    def run(bucket: int, sums: list[np.ndarray]) -> Row | None:
+        """How many words training has seen in a range, a row of its own chunk."""
+        if bucket < ranges.groups * ranges.each:
+            return -1 - bucket, bucket, np.array([(sums[0] > 0).sum()], np.int64).tobytes(), b"", b"", b""
+        return None
 
     return run
 
@@ -146,23 +136,22 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))), 0).astype(np.int64)
 
 
-def _assemble(buckets: int):  # noqa: ANN202
+def _assemble(groups: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         """One chunk: per token the counts of the word and of the pair, and what EM needs of deleted tokens."""
         rows = sorted(zip(*(c.to_pylist() for c in table.columns), strict=True), key=lambda r: r[1])
         schema = pa.schema([("docs", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("pairs", pa.binary()), ("cells", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64()), ("deleted", pa.int64())])
         if rows[0][0] < 0:
-            types = int(sum(np.frombuffer(r[2], np.int64)[0] for r in rows))
-            return pa.Table.from_pylist([{"types": types, "tokens": 0, "deleted": 0}], schema=schema)
+            return pa.Table.from_pylist([{"types": int(np.frombuffer(r[2], np.int64)[0]), "tokens": 0, "deleted": 0} for r in rows], schema=schema)
         (_, _, docs, sizes, stream, counts), *found = rows
         size = np.frombuffer(sizes, np.int64)
         ids, known = np.frombuffer(docs[: 8 * len(size)], np.int64), np.frombuffer(docs[8 * len(size) :], np.uint8)
         folds = np.array([fold(int(i) if k else None) for i, k in zip(ids, known, strict=True)])
-        own = np.concatenate([unpack(r[4], "u8", True) for r in found if r[1] < buckets])
+        own = np.concatenate([unpack(r[4], "u8", True) for r in found if r[1] < groups])
         at = by_rank(unpack(counts, "u4"))[unpack(stream, "u4")]
         first = np.cumsum(size) - size
         _, back = np.unique(pair_keys(own[at], first), return_inverse=True)
-        get = lambda part, k: np.concatenate([unpack(r[k], "u8") for r in found if r[1] // buckets == part]).astype(np.int64)
+        get = lambda part, k: np.concatenate([unpack(r[k], "u8") for r in found if r[1] // groups == part]).astype(np.int64)
         word, pair = get(0, 2)[at], get(1, 2)[back]
         # deleted documents: the counts of the others, for words, contexts and pairs
         gone = np.flatnonzero(np.repeat(folds == DELETED, size))
@@ -254,10 +243,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     ship_package(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-size // (6 * BUCKET)))
-    asked = scan(docs, key, text, buckets).groupBy("bucket").applyInArrow(_add_up(buckets), _ROW)
+    ranges = Ranges(max(1, -(-size // (6 * BUCKET))), _BITS, 2)
+    blocks = blocks_of(size // (6 * CHUNK) + 1, CHUNK, BUCKET, ranges)
+    asked = exchange(scan(docs, key, text, ranges), ranges, blocks, _numbers, _reply(ranges), _types(ranges))
     kind = "docs binary, sizes binary, words binary, pairs binary, cells binary, types long, tokens long, deleted long"
-    chunks = written(asked.groupBy("chunk").applyInArrow(_assemble(buckets), kind), "chunks")
+    chunks = written(asked.groupBy("chunk").applyInArrow(_assemble(ranges.groups), kind), "chunks")
     weights = learn(chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
