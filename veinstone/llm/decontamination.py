@@ -1,4 +1,10 @@
-"""Benchmark decontamination against a broadcast hash set of test windows. DataFrame operations only."""
+"""Benchmark decontamination against a broadcast hash set of test windows. DataFrame operations only.
+
+The set is one array of bits, of the same size for any benchmark, that every scan task gets as the value of
+a subquery. A window's first words are hashed to two bits. Where both are set in a text, the whole window is
+compared with the table of windows. So the corpus is scanned once, however large the benchmark is; a larger
+one only sets more bits, and more places are compared.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +16,11 @@ from .common import ROW, ascii_lower, numbered, words, written
 #: What separates words: ASCII other than 0-9 and a-z after lower-casing.
 SPLITTER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Words that anchor a window in the hash set, and windows a broadcast set may hold; more go in blocks.
-ANCHOR, BLOCK = 4, 20_000
+#: Words that anchor a window in the hash set, and the power of two of 64-bit words that the set has.
+ANCHOR, WORDS_LOG2 = 4, 18
+#: Windows up to which their table is broadcast for the comparison; a larger one is joined by shuffle.
+BROADCAST_WINDOWS = 20_000
+_NO_HITS = "array<struct<from:int,past:int,win:string>>"
 
 
 def text_words(text: Column) -> Column:
@@ -33,34 +42,56 @@ def _anchor(w: Column, i: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(w, i + k) for k in range(n)])
 
 
-def _hits(w: Column, n: int, keys: list[int], lens: list[int]) -> Column:
-    """Structs (from, past, win) at each position whose n-word anchor is in keys, one for each length that fits."""
-    at = F.filter(F.sequence(F.lit(0), F.size(w) - n), lambda i: _anchor(w, i, n).isin(keys))
+def _places(h: Column) -> list[tuple[Column, Column]]:
+    """(word, bit) of the two bits of a hash."""
+    mask = (1 << WORDS_LOG2) - 1
+    return [(x.bitwiseAND(F.lit(mask)).cast("int"), F.shiftrightunsigned(x, WORDS_LOG2).bitwiseAND(F.lit(63)).cast("int")) for x in (h, F.shiftrightunsigned(h, 32))]
+
+
+def hash_set(windows: DataFrame) -> DataFrame:
+    """(bits): one row, the array of 64-bit words with the bits of all windows' anchors."""
+    w = F.split("win", " ")
+    anchor = F.coalesce(*[F.when(F.least("len", F.lit(ANCHOR)) == n, _anchor(w, F.lit(0), n)) for n in range(1, ANCHOR + 1)])
+    places = windows.select(anchor.alias("h")).distinct().select(F.explode(F.array(*[F.struct(a.alias("word"), b.alias("bit")) for a, b in _places(F.col("h"))])).alias("p")).select("p.*")
+    some = places.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("v"))
+    every = windows.sparkSession.range(1 << WORDS_LOG2).join(some, F.col("id") == F.col("word"), "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    # as many rows as the set has words, whatever the benchmark
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda s: s["v"]).alias("bits"))
+
+
+def _hits(w: Column, n: int, bits: Column, lens: list[int]) -> Column:
+    """Structs (from, past, win) at each position whose n-word anchor is in the set, one for each length that fits."""
+    has = lambda h: (lambda a, b: a & b)(*[F.call_function("shiftright", F.get(bits, x), y).bitwiseAND(F.lit(1)) == 1 for x, y in _places(h)])
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: _anchor(w, i, n))
+    at = F.array_compact(F.transform(hashes, lambda h, i: F.when(has(h), i)))
 
     def spans(i: Column) -> Column:
         every = F.array(*[F.struct(i.alias("from"), (i + k).alias("past"), F.array_join(F.slice(w, i + 1, F.lit(k)), " ").alias("win")) for k in lens])
         return F.filter(every, lambda s: s["past"] <= F.size(w))
 
-    return F.coalesce(F.flatten(F.transform(F.when(F.size(w) >= n, at), spans)), F.array().cast("array<struct<from:int,past:int,win:string>>"))
+    return F.coalesce(F.flatten(F.transform(F.when(F.size(w) >= n, at), spans)), F.array().cast(_NO_HITS))
 
 
 def find_hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, rid, n_words, from, past, items): where windows occur; from is null in documents without any.
 
-    The windows' anchors (hashes of their first words) are a literal hash set inside the scan; at its
-    hits the whole window is compared with the broadcast windows. rid numbers the input rows.
+    windows: as item_windows gives them, written. rid numbers the input rows.
     """
-    some = windows.select("len", F.least("len", F.lit(ANCHOR)).alias("a"), F.split("win", " ").alias("w")).select("len", "a", *[F.when(F.col("a") == n, _anchor(F.col("w"), F.lit(0), n)).alias(f"k{n}") for n in range(1, ANCHOR + 1)]).collect()
+    counted = windows.groupBy("len").count().collect()  # lengths are at most the window's
     found = []
     for n in range(1, ANCHOR + 1):
-        keys = sorted({r[f"k{n}"] for r in some if r["a"] == n})
-        lens = sorted({r["len"] for r in some if r["a"] == n})
-        if keys:
-            found.append(_hits(F.col("w"), n, keys, lens))
+        lens = sorted(r["len"] for r in counted if min(r["len"], ANCHOR) == n)
+        if lens:
+            found.append(_hits(F.col("w"), n, F.col("bits"), lens))
     rows = docs.select(F.col(key).alias(key), F.monotonically_increasing_id().alias("rid"), text_words(F.col("text")).alias("w"))
-    hits = F.concat(*found) if found else F.array().cast("array<struct<from:int,past:int,win:string>>")
+    if found:
+        rows = rows.withColumn("bits", written(hash_set(windows), "bits").scalar())
+    hits = F.concat(*found) if found else F.array().cast(_NO_HITS)
     rows = rows.select(key, "rid", F.size("w").cast("long").alias("n_words"), F.explode_outer(hits).alias("h")).select(key, "rid", "n_words", "h.from", "h.past", "h.win")
-    got = rows.withColumn("len", F.col("past") - F.col("from")).join(F.broadcast(windows.select("win", "len", "items")), ["win", "len"], "left")
+    table = windows.select("win", "len", "items")
+    if sum(r["count"] for r in counted) <= BROADCAST_WINDOWS:
+        table = F.broadcast(table)
+    got = rows.withColumn("len", F.col("past") - F.col("from")).join(table, ["win", "len"], "left")
     ok = F.col("items").isNotNull()
     return got.select(key, "rid", "n_words", F.when(ok, F.col("from")).alias("from"), F.when(ok, F.col("past")).alias("past"), "items")
 
@@ -80,21 +111,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) per document.
 
     A word inside any occurrence of a benchmark window is hit; contaminated: at least one word in twenty.
-    Windows beyond BLOCK rows are scanned for in blocks of that size, so the broadcast set stays bounded
-    however large the benchmark. Null or empty text: no words, not contaminated. Repeated rows get a row
-    each; an empty benchmark hits nothing; other columns are ignored.
+    Null or empty text: no words, not contaminated. Repeated rows get a row each; an empty benchmark hits
+    nothing; items without an id hit words but are not counted; other columns are ignored.
     """
-    windows = written(item_windows(benchmark), "windows")
-    n = windows.count()
-    blocks = -(-n // BLOCK)
-    if blocks <= 1:
-        hits = find_hits(docs, windows, key)
-    else:
-        part = F.pmod(F.xxhash64("win"), F.lit(blocks))
-        hits = find_hits(docs, windows.where(part == 0), key)
-        for b in range(1, blocks):
-            hits = hits.unionByName(find_hits(docs, windows.where(part == b), key))
-        # every block numbers rows alike, for each scans the same table
+    hits = find_hits(docs, written(item_windows(benchmark), "windows"), key)
     span = F.when(F.col("from").isNotNull(), F.struct("from", "past"))
     per = hits.groupBy(key, "rid", "n_words").agg(F.collect_set(span).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("i"))
     n_hit = _covered(F.col("s"))
@@ -112,12 +132,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text): normalised words of each document without the hit spans, joined by spaces.
+    """(key, text): normalised words of each row's text without its own hit spans, joined by spaces.
 
-    The other way to decontaminate; it keeps documents and loses their punctuation.
+    The other way to decontaminate; it keeps documents and loses their punctuation. Rows are told apart
+    whatever their keys, so null and repeated keys lose nothing; null text gives an empty one.
     """
-    hits = find_hits(docs, written(item_windows(benchmark), "windows"), key).where("from is not null")
-    spans = hits.groupBy(F.col(key).alias("__vs_k")).agg(F.collect_set(F.struct("from", "past")).alias("__vs_s"))
-    joined = docs.join(spans, docs[key].eqNullSafe(spans["__vs_k"]), "left")
-    kept = F.filter(text_words(F.col("text")), lambda x, i: ~F.coalesce(F.exists("__vs_s", lambda s: (i >= s["from"]) & (i < s["past"])), F.lit(False)))
-    return joined.select(key, F.array_join(kept, " ").alias("text"))
+    rows = numbered(docs.select(F.col(key).alias("key"), "text"))
+    hits = find_hits(rows, written(item_windows(benchmark), "windows"), ROW).where("from is not null")
+    spans = hits.groupBy(ROW).agg(F.collect_set(F.struct("from", "past")).alias("spans"))
+    kept = F.filter(text_words(F.col("text")), lambda x, i: ~F.coalesce(F.exists("spans", lambda s: (i >= s["from"]) & (i < s["past"])), F.lit(False)))
+    return rows.join(spans, ROW, "left").select(F.col("key").alias(key), F.array_join(kept, " ").alias("text"))
