@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 WINDOW = 3
 _KEY, _PRINT, _CUT = "__vs_id", "__vs_print", "__vs_cut"
 
@@ -39,17 +41,24 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
 
 
 def _merged(starts: Column) -> Column:
-    """Sorted window starts to disjoint spans (from, past) of covered lines."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    span = lambda p: F.struct(p.alias("s"), (p + WINDOW).alias("e"))
+    """Window starts to the disjoint spans (s, e) of covered lines, as sorted arrays (begins, ends)."""
+    p = F.sort_array(starts)
+
+    def spans(p: Column) -> Column:
+        apart = lambda j: F.get(p, j) - F.get(p, j - 1) > WINDOW
+        begins = F.filter(p, lambda x, j: (j == 0) | apart(j))
+        lasts = F.filter(p, lambda x, j: (j == F.size(p) - 1) | apart(j + 1))
+        return F.struct(begins.alias("s"), F.transform(lasts, lambda x: x + WINDOW).alias("e"))
+
+    return let(p, spans)
 
-    def add(acc: Column, p: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joins = (F.size(acc) > 0) & (p <= last["e"])
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), (p + WINDOW).alias("e"))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(span(p))))
 
-    return F.aggregate(F.sort_array(starts), none, add)
+def _without(lines: Column, spans: Column) -> Column:
+    """The lines outside spans, as slices between them."""
+    s, e = spans["s"], spans["e"]
+    begins = F.concat(F.array(F.lit(0)), e)
+    ends = F.concat(s, F.array(F.size(lines)))
+    return F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"])))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -66,9 +75,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = docs.withColumn("__vs_own", F.xxhash64("text"))
     joined = own.join(cuts, own["doc_id"].eqNullSafe(cuts[_KEY]) & (own["__vs_own"] == cuts[_PRINT]), "left")
     lines, spans = _lines(F.col("text")), F.col("__vs_spans")
-    kept = F.filter(lines, lambda x, i: ~F.exists(spans, lambda s: (i >= s["s"]) & (i < s["e"])))
-    text = F.when(spans.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    cut = F.coalesce(F.aggregate(spans, F.lit(0), lambda acc, s: acc + s["e"] - s["s"]), F.lit(0))
+    text = F.when(spans.isNull(), F.col("text")).otherwise(F.array_join(let(lines, lambda x: _without(x, spans)), "\n"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    cut = F.coalesce(total(spans["e"]) - total(spans["s"]), F.lit(0))
     return joined.withColumn(_CUT, cut).withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns], _CUT)
 
 
