@@ -222,7 +222,7 @@ def write_packages(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 
 def record_ranges(manifest: DataFrame) -> DataFrame:
-    """Runs of neighbouring records (uri, start, length) of about READ_BYTES, from each package's index."""
+    """Runs of neighbouring records (uri, start, lengths) of about READ_BYTES, from each package's index."""
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,15 +235,20 @@ def record_ranges(manifest: DataFrame) -> DataFrame:
                         raise ValueError(f"{uri}: members must be stored")
                     f.seek(index.data_at)
                     lines = io.BytesIO(f.read(index.size))
+                starts: list[int] = []
                 runs: list[list[int]] = []
+                held = 0
                 for line in lines:
                     x = json.loads(line)
-                    if not runs or runs[-1][1] + x["length"] > READ_BYTES:
-                        runs.append([data.data_at + x["offset"], 0])
-                    runs[-1][1] += x["length"]
-                yield pa.RecordBatch.from_pydict({"uri": [uri] * len(runs), "start": pa.array([r[0] for r in runs], pa.int64()), "length": pa.array([r[1] for r in runs], pa.int64())})
+                    if not runs or held + x["length"] > READ_BYTES:
+                        starts.append(data.data_at + x["offset"])
+                        runs.append([])
+                        held = 0
+                    runs[-1].append(x["length"])
+                    held += x["length"]
+                yield pa.RecordBatch.from_pydict({"uri": [uri] * len(runs), "start": pa.array(starts, pa.int64()), "lengths": pa.array(runs, pa.list_(pa.int64()))})
 
-    return manifest.select("uri").mapInArrow(plan, "uri string, start long, length long")
+    return manifest.select("uri").mapInArrow(plan, "uri string, start long, lengths array<long>")
 
 
 def read_records(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -265,15 +270,14 @@ def read_records(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uri, start, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, path = open_uri(uri)
                 with fs.open_input_file(path) as f:
-                    data = _read_at(f, start, length)
-                rows = []
-                while data:
-                    z = zlib.decompressobj(31)
-                    head, block = parse_record(z.decompress(data) + z.flush())
-                    data = z.unused_data
+                    data = memoryview(_read_at(f, start, sum(lengths)))
+                rows, at = [], 0
+                for length in lengths:
+                    head, block = parse_record(zlib.decompress(data[at : at + length], 31))
+                    at += length
                     http, _, body = block.partition(b"\r\n\r\n")
                     digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
                     if kind == "response":
