@@ -113,13 +113,16 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 def learn(labelled: DataFrame, target: str = "bad", features: tuple[str, ...] = FEATURES) -> list[Rule]:
     """Grow and prune rules for rows whose target is 1; no or one-sided labels: no rules.
 
+    The list's size is a setting of the model: at most MAX_RULES rules of at most MAX_TESTS tests, each test
+    at one of BINS - 1 quantiles of its feature. All labelled rows take part in every count.
+
     Deterministic: rows are split by a hash of their features, ties go to the first feature and threshold.
     """
     marks = labelled.agg(*[F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 10_000).alias(f) for f in features]).first()
     cuts = {f: sorted({float(v) for v in marks[f]}) if marks[f] else [] for f in features}
     bins = [F.lit(0) if not cuts[f] else sum((F.col(f) > v).cast("int") for v in cuts[f]) for f in features]
     split = F.pmod(F.xxhash64(*features), F.lit(3))
-    left = written(labelled.select(F.col(target).cast("int").alias("y"), *features, F.array(*bins).alias("bins"), (split > 0).alias("grow")).repartition(8), "labelled")
+    left = written(labelled.select(F.col(target).cast("int").alias("y"), *features, F.array(*bins).alias("bins"), (split > 0).alias("grow")), "labelled")
     rules: list[Rule] = []
     while len(rules) < MAX_RULES:
         tests: list[Test] = []
