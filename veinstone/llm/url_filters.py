@@ -54,11 +54,11 @@ def path_of(url: Column) -> Column:
 
 
 def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
-    """The longest fitting rule as struct (rule, verdict), or null. Ties: the first in text order."""
+    """The longest fitting rule as struct (rule, verdict), or null. Ties: the last in text order; of equal texts, allow."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are compiled into one expression")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
+    for r in sorted(rules, key=lambda r: (len(r.text), r.text, r.verdict == ALLOW)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
         out = F.when(fits, F.struct(F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
     return out
