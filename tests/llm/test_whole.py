@@ -1,10 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+from collections import Counter, defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_brute import components, shingles
-from veinstone.llm import decontamination, jaccard_join, language_id
+from veinstone.llm import decontamination, jaccard_join, language_id, line_dedup, url_filters
 
 
 def test_jaccard_keeps_members_that_no_hub_was_compared_with(spark):
@@ -72,4 +76,174 @@ def test_every_language_is_learned(spark):
     rows = [(i, f"w{i % 70}x y{i % 70}z", f"l{i % 70:02}") for i in range(700)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language_id.fit(docs).labels == [f"l{i:02}" for i in range(70)]
-    assert language_id.per_lang(4) == 500 and language_id.per_lang(70) == 457 and language_id.per_lang(10**6) == 1
+    assert language_id.per_lang(4) == 500 and language_id.per_lang(70) == 114 and language_id.per_lang(10**6) == 1
+
+
+def test_spans_are_cut_row_by_row(spark, monkeypatch):
+    """Null and repeated ids, a table of windows too large to broadcast, and rows that came through a shuffle."""
+    bad, clean = (" ".join(f"{k}{i}" for i in range(30)) for k in "bc")
+    rows = [(None, bad), (None, clean), (5, bad), (5, f"{clean} {bad} tail"), (6, None), (6, ""), (7, "b0 b1 b2 " + clean)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    benchmark = spark.createDataFrame([(1, bad), (None, " ".join(f"z{i}" for i in range(9))), (2, ""), (3, None)], "item_id long, text string")
+    order = lambda x: sorted(x, key=str)
+    want = order([(None, ""), (None, clean), (5, ""), (5, f"{clean} tail"), (6, ""), (6, ""), (7, "b0 b1 b2 " + clean)])
+    verdicts = order([(None, 30, 30, True), (None, 30, 0, False), (5, 30, 30, True), (5, 61, 30, True), (6, 0, 0, False), (6, 0, 0, False), (7, 33, 0, False)])
+    for limit in (20_000, 3):
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", limit)
+        for table in (docs, docs.repartition(5, "n")):
+            assert order(tuple(r) for r in decontamination.cut_spans(table, benchmark).collect()) == want
+            got = decontamination.judge(table, benchmark).collect()
+            assert order((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in got) == verdicts
+
+
+def test_crowded_hash_set_changes_nothing(spark, monkeypatch):
+    """With a set so small that most bits are taken, whole windows still decide."""
+    monkeypatch.setattr(decontamination, "WORDS_LOG2", 2)
+    rng = random.Random(2)
+    item = lambda k: " ".join(f"v{rng.randrange(40)}" for _ in range(k))
+    items = [item(rng.randint(1, 30)) for _ in range(60)]
+    docs = [" ".join([item(40), rng.choice(items), item(20)]) for _ in range(50)]
+    got = decontamination.judge(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    wins = {tuple(w[k : k + 13]) for w in map(str.split, items) for k in range(max(1, len(w) - 12))}
+    for r in got:
+        w, hit = docs[r["doc_id"]].split(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in wins:
+                    hit.update(range(k, k + n))
+        assert (r["n_words"], r["n_hit"]) == (len(w), len(hit))
+
+
+def naive_grams(text):
+    data = (b" " + text + b" ").translate(language_id._TABLE)
+    out = Counter()
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            h = data[i]
+            for b in data[i + 1 : i + n]:
+                h = (h * 257 + b) & 0xFFFFFFFF
+            out[((h * 2654435761 + n * 40503) & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def test_gram_counts(monkeypatch):
+    rng = random.Random(6)
+    texts = [b"", b"a", b"Hello, W\xc3\xb6rld 123!", bytes(rng.randrange(256) for _ in range(700))]
+    for segment in (1 << 20, 7, 64):
+        monkeypatch.setattr(language_id, "_SEGMENT", segment)
+        for t in texts:
+            got = language_id.gram_counts(t)
+            assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == naive_grams(t)
+
+
+def test_training_steps_and_calibration():
+    """One epoch against gradients taken row by row, then the temperature and the bound by their definitions."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 5, (40, language_id.TABLE_SIZE)).astype(np.float32)
+    langs = [["aa", "bb", "cc"][k % 3] for k in range(40)]
+    for k in range(40):
+        x[k, (k % 3) * 50 : (k % 3) * 50 + 50] += 40
+    model = language_id.train(x.copy(), langs, epochs=1, rate=0.1, batch=8, seed=3)
+    g = np.random.default_rng(3)
+    order = g.permutation(40)
+    held, fit = order[::5], order[np.arange(40) % 5 > 0]
+    unit = x / x.sum(1, keepdims=True)
+    emb = g.normal(0, 1, (language_id.TABLE_SIZE, language_id.WIDTH)).astype(np.float32).astype(float)
+    out, bias = np.zeros((language_id.WIDTH, 3)), np.zeros(3)
+    g.shuffle(fit)
+    y = [k % 3 for k in range(40)]
+
+    def soft(z):
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    for at in range(0, len(fit), 8):
+        rows = fit[at : at + 8]
+        d_out, d_bias, d_emb = np.zeros_like(out), np.zeros_like(bias), np.zeros_like(emb)
+        for r in rows:
+            mean = unit[r] @ emb
+            err = soft(mean @ out + bias) - np.eye(3)[y[r]]
+            d_out += np.outer(mean, err) / len(rows)
+            d_bias += err / len(rows)
+            d_emb += np.outer(unit[r], out @ err) / len(rows)
+        out, bias, emb = out - 0.1 * d_out, bias - 0.1 * d_bias, emb - 0.1 * 50 * d_emb
+    assert np.allclose(model.weights, emb @ out, atol=1e-4) and np.allclose(model.bias, bias, atol=1e-5)
+    z = unit[held] @ model.weights + model.bias
+    loss = lambda t: -np.mean([np.log(soft(z[k] / t)[y[r]]) for k, r in enumerate(held)])
+    grid = [0.05 * 1.25**k for k in range(30)]
+    assert np.isclose(loss(model.temperature), min(map(loss, grid)))
+    right = [soft(z[k] / model.temperature).max() for k, r in enumerate(held) if z[k].argmax() == y[r]]
+    assert np.isclose(model.reject, min(language_id.REJECT_CEILING, np.quantile(right, language_id.REJECT_QUANTILE)), atol=1e-5)
+
+
+def test_language_query_is_the_model_on_its_sample(spark, monkeypatch):
+    """The sample by its definition, and every row as the model trained on it predicts."""
+    rng = random.Random(8)
+    voc = {"aa": "das und der nicht", "bb": "the and of not", "cc": "le et la pas", None: "lorem ipsum"}
+    rows = []
+    for i in range(900):
+        lang = rng.choice(["aa", "aa", "aa", "bb", "cc", None])
+        rows.append((i if i % 50 else None, None if i % 97 == 0 else " ".join(rng.choice(voc[lang].split()) for _ in range(rng.randint(0, 20))), lang))
+    rows += rows[:40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANG", 30)
+    hashes = {r["doc_id"]: (r["h"], r["m"]) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("m")).collect()}
+    pool = defaultdict(set)
+    for i, t, lang in rows:
+        if i is not None and t is not None and lang is not None and hashes[i][1]:
+            pool[lang].add((hashes[i][0], i))
+    want = {(i, lang) for lang, ids in pool.items() for _, i in sorted(ids)[:30]}
+    assert {tuple(r) for r in language_id.sample_ids(docs).collect()} == want
+    model = language_id.fit(docs)
+    for r, (i, t, _) in zip(sorted(language_id.identify(docs, model).collect(), key=str), sorted(rows, key=lambda r: (str(r[0]), str(r[1]))), strict=False):
+        assert r["held_out"] == (r["doc_id"] is not None and hashes[r["doc_id"]][1] == 0)
+    texts = Counter((i, *model.predict(t.encode() if t is not None else None)) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["lang_pred"], r["score"], r["rejected"]) for r in language_id.identify(docs, model).collect()) == texts
+
+
+def test_aliases_at_size(spark):
+    """Chains, a hub of a third of all links, and allowed URLs in blocked classes, over 100,000 pages."""
+    n = 100_000
+    host = F.when(F.col("id") % 9 == 4, "www.example.com").when(F.col("id") % 11 == 5, "a.example.com").otherwise(F.concat(F.lit("h"), F.col("id") % 50, F.lit(".org")))
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), host, F.lit("/en/"), F.col("id")).alias("url"), F.lit(None).cast("string").alias("html"))
+    url = {r["page_id"]: r["url"] for r in pages.collect()}
+    link = [(k, k + 1) for k in range(1, n // 3) if k % 7] + [(k, 0) for k in range(n // 3, 2 * n // 3)]
+    links = spark.createDataFrame([(url[a], url[b]) for a, b in link], "src string, dst string")
+    par = list(range(n))
+
+    def find(x):
+        while par[x] != x:
+            par[x] = par[par[x]]
+            x = par[x]
+        return x
+
+    for a, b in link:
+        par[find(a)] = find(b)
+
+    def own(u):
+        return "allow" if "//www.example.com/" in u else "block" if "example.com/" in u else None
+
+    bad = {find(k) for k in range(n) if own(url[k]) == "block"}
+    got = {r["page_id"]: (r["verdict"], r["via"]) for r in url_filters.filter_urls(pages, redirects=links).collect()}
+    for k in range(n):
+        want = (own(url[k]), "rule") if own(url[k]) else ("block", "alias") if find(k) in bad else ("allow", "default")
+        assert got[k] == want, url[k]
+
+
+def test_long_runs_of_repeated_lines(spark):
+    """Overlapping, touching and lone windows in one text, and a text that repeats itself thousands of times."""
+    rng = random.Random(1)
+    lines = [f"l{i}" for i in range(12)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["a\nb\n" * 4000]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        x, cut = t.split("\n"), set()
+        for p in range(len(x) - 2):
+            key = tuple(x[p : p + 3])
+            if "".join(key):
+                if key in seen:
+                    cut.update((p, p + 1, p + 2))
+                seen.add(key)
+        want[i] = (len(x), len(cut), "\n".join(v for p, v in enumerate(x) if p not in cut))
+    got = line_dedup.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in got} == want

@@ -20,7 +20,7 @@ def line_windows(docs: DataFrame) -> DataFrame:
 
     Lines are compared without spaces at their ends. print tells rows of one id apart by their text.
     """
-    rows = docs.where(F.contains("text", F.lit("\n"))).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"), F.transform(_lines(F.col("text")), F.trim).alias("l"))
+    rows = docs.where(F.contains("text", F.lit("\n"))).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"), F.transform(_lines(F.col("text")), lambda x: F.trim(x)).alias("l"))
     rows = rows.where(F.size("l") >= WINDOW)
 
     def window(i: Column) -> Column:
