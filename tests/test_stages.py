@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veinstone import cli
 from veinstone.operators import linking, numbering, quality, ranking
 from veinstone.plans import code_index, native, packet, resources, runs
-from veinstone.plans.config import Config, PhaseResult, summarize
+from veinstone.plans.config import Config
 from veinstone.plans.pipeline import Run
 from veinstone.sources import archives as src
 from veinstone.sources import documents as docs
@@ -199,10 +199,11 @@ def test_import_validation(spark):
 
 
 def test_status_algebra(spark):
-    assert not PhaseResult("p", "partial").success
-    assert summarize([PhaseResult("a"), PhaseResult("b", "skipped")])["all_success"]
+    flags = lambda *states: runs.run_flags(runs.phase_table(spark, [runs.Phase(f"p{i}", s) for i, s in enumerate(states)]))
+    assert flags("success", "skipped") == {"all_success": True, "has_partial": False, "has_failed": False}
+    assert flags("partial", "success", "failed") == {"all_success": False, "has_partial": True, "has_failed": True}
     with pytest.raises(ValueError):
-        PhaseResult("p", "done")
+        flags("done")
     df = spark.createDataFrame([("success",), ("skipped",)], "s string")
     assert df.agg(quality.all_success(F.col("s")).alias("v")).first()["v"]
 
@@ -224,11 +225,11 @@ def test_cache_and_identity(tmp_path):
     def compute():
         made.append(1)
         docs.write_document(out, {"n": len(made)})
-        return PhaseResult("p", "success", [str(out)])
+        return runs.Phase("p", "success", [str(out)])
 
     key = runs.cache_key("p", "1", "in", {"a": 1})
-    assert "cached" not in runs.cached_phase(manifest, key, [out], compute).details
-    assert runs.cached_phase(manifest, key, [out], compute).details["cached"] and len(made) == 1
+    assert "cached" not in runs.cached_phase(manifest, key, [out], compute).numbers
+    assert runs.cached_phase(manifest, key, [out], compute).numbers["cached"] and len(made) == 1
     docs.write_document(out, {"n": "changed"})
     runs.cached_phase(manifest, key, [out], compute)
     runs.cached_phase(manifest, runs.cache_key("p", "1", "in", {"a": 2}), [out], compute)
@@ -276,7 +277,7 @@ def test_whole_run(spark, tmp_path):
     out = Run(spark, config, str(code), libraries(spark)).execute()
     assert out["all_success"], out
     again = Run(spark, config, str(code), libraries(spark)).execute()
-    assert all(p["details"].get("cached") for p in again["phases"])
+    assert all(p["numbers"].get("cached") for p in again["phases"])
     ws = tmp_path / "ws"
     assert spark.read.parquet(str(ws / "edges")).where("type = 'loads_native_library'").count() == 1
     assert "# Evidence" in (ws / "report.md").read_text()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ def unit_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(_SEP, *[p.cast("string") for p in parts]), 256), 1, 24)
 
 
-def token_fingerprint(text: Column, max_chars: int = 20_000) -> Column:
+def token_fingerprint(text: Column, max_chars: int | None = 20_000) -> Column:
+    """SHA-256 of the normalised first characters; None: of the whole text."""
     return F.sha2(normalize(text, max_chars), 256)
 
 
@@ -30,15 +33,21 @@ def feature_hash(values: Column) -> Column:
     return F.sha2(F.array_join(values, "\n"), 256)
 
 
-def _blake(size: int, shingle: int):  # noqa: ANN202
+_EIGHT_BYTES = {"blake2b_64": lambda s: hashlib.blake2b(s, digest_size=8).digest(), "sha256_64": lambda s: hashlib.sha256(s).digest()[:8]}
+
+
+def _sketches(size: int, shingle: int, algorithm: str):  # noqa: ANN202
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashed = _EIGHT_BYTES[algorithm]
         for parts in it:
             rows = []
             for x in parts.to_pylist():
                 t = [w for w in (x or "").split(" ") if w]
                 n = max(0, len(t) - shingle + 1)
-                least = sorted({hashlib.blake2b(_SEP.join(t[i : i + shingle]).encode("utf-8", "ignore"), digest_size=8).hexdigest() for i in range(n)})[:size]
-                rows.append({"algorithm": "bottom_k_blake2b_64", "shingle_size": shingle, "token_count": len(t), "shingle_count": n, "retained_hash_count": len(least), "hashes": least})
+                # equal shingles are hashed once; the digests' order is that of their hex digits
+                each = set(map(_SEP.join, zip(*(t[i : i + n] for i in range(shingle)), strict=True)))
+                least = [h.hex() for h in heapq.nsmallest(size, {hashed(s.encode("utf-8", "ignore")) for s in each})]
+                rows.append({"algorithm": f"bottom_k_{algorithm}", "shingle_size": shingle, "token_count": len(t), "shingle_count": n, "retained_hash_count": len(least), "hashes": least})
             kind = pa.struct([("algorithm", pa.string()), ("shingle_size", pa.int32()), ("token_count", pa.int32()), ("shingle_count", pa.int32()), ("retained_hash_count", pa.int32()), ("hashes", pa.list_(pa.string()))])
             yield pa.array(rows, kind)
 
@@ -50,25 +59,22 @@ _SKETCH = "struct<algorithm:string,shingle_size:int,token_count:int,shingle_coun
 
 
 def shingle_sketch(text: Column, shingle: int = SHINGLE, size: int = SKETCH_SIZE, algorithm: str = "blake2b_64", parity: bool = False) -> Column:
-    """Bottom-k sketch of token shingles as a struct.
+    """Bottom-k sketch of token shingles as a struct, hashed in Arrow batches.
 
-    algorithm: blake2b_64 hashes in Arrow batches, sha256_64 (first 16 hex digits of SHA-256) natively.
-    parity: cut the text into overlapping chunks first, which counts tokens of overlaps twice.
+    algorithm: blake2b_64, or sha256_64 (the first 8 bytes of SHA-256). parity, for sha256_64 only: cut the
+    text into overlapping chunks first, which counts tokens of overlaps twice; computed natively.
     """
     if shingle < 2 or size < 1:
         raise ValueError("a shingle has two tokens or more and a sketch one hash or more")
-    if algorithm == "blake2b_64":
-        if parity:
-            raise ValueError("overlapping chunks are for sha256_64 only")
+    if algorithm not in _EIGHT_BYTES:
+        raise ValueError(f"unknown algorithm {algorithm}")
+    if not parity:
         ship_package(SparkSession.active())
         # the argument has no lambda: Spark does not plan Python functions over higher-order expressions of a file scan
-        return F.arrow_udf(_blake(size, shingle), _SKETCH)(normalize(text, None))
+        return F.arrow_udf(_sketches(size, shingle, algorithm), _SKETCH)(normalize(text, None))
     if algorithm != "sha256_64":
-        raise ValueError(f"unknown algorithm {algorithm}")
-    if parity:
-        toks = F.flatten(F.transform(chunks(F.coalesce(text, F.lit(""))), lambda c: F.filter(F.split(normalize(c, None), " "), lambda t: t != "")))
-    else:
-        toks = F.filter(F.split(normalize(text, None), " "), lambda t: t != "")
+        raise ValueError("overlapping chunks are for sha256_64 only")
+    toks = F.flatten(F.transform(chunks(F.coalesce(text, F.lit(""))), lambda c: F.filter(F.split(normalize(c, None), " "), lambda t: t != "")))
 
     def shingles(t: Column) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size(t) - shingle + 1), lambda i: F.array_join(F.slice(t, i, F.lit(shingle)), _SEP))
@@ -83,14 +89,18 @@ def shingle_sketch(text: Column, shingle: int = SHINGLE, size: int = SKETCH_SIZE
     )
 
 
-def byte_entropy(data: Column, window: int = 1_000_000) -> Column:
-    """Shannon entropy in bits of the first bytes, from per-byte counts of the Latin-1 text."""
-    text = F.decode(F.substring(data, 1, window), "ISO-8859-1")
+def _entropy(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for parts in it:
+        out = []
+        for x in parts:
+            data = np.frombuffer(x.as_buffer() or b"", np.uint8) if x.is_valid else np.zeros(0, np.uint8)
+            n = np.bincount(data, minlength=256)
+            p = n[n > 0] / max(1, len(data))
+            out.append(float(-(p * np.log2(p)).sum()) + 0.0)
+        yield pa.array(out, pa.float64())
 
-    def total(t: Column) -> Column:
-        n = F.length(t)
-        share = lambda b: (n - F.length(F.replace(t, F.decode(F.unhex(F.lpad(F.hex(b), 2, "0")), "ISO-8859-1"), F.lit("")))) / n
-        terms = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: let(share(b), lambda p: F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))))
-        return F.when(n > 0, F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 4)).otherwise(F.lit(0.0))
 
-    return let(text, total)
+def byte_entropy(data: Column, window: int = 1_000_000) -> Column:
+    """Shannon entropy in bits of the first bytes, 4 digits; no bytes: 0. Counted in Arrow batches, one pass a row."""
+    ship_package(SparkSession.active())
+    return F.round(F.arrow_udf(_entropy, "double")(F.substring(data, 1, window)), 4)

@@ -32,6 +32,12 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PART), F.lit(0)), F.lower)
 
 
+def spaced_tokens(text: Column) -> Column:
+    """The tokens as one lower-cased string, with a space before and after each."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PART), F.lit(0))
+    return F.concat(F.lit(" "), F.lower(F.array_join(parts, " ")), F.lit(" "))
+
+
 def contains_sequence(token_array: Column, sequence: str) -> Column:
     """Whether the token array has the words of `sequence` next to each other."""
     padded = F.concat(F.lit(" "), F.array_join(token_array, " "), F.lit(" "))

@@ -13,8 +13,8 @@ from ..operators import graph
 from ..sources import archives as src
 from ..sources.documents import write_document
 from . import code_index, native, packet, resources
-from .config import Config, PhaseResult, summarize
-from .runs import cache_key, cached_phase, guard, input_fingerprint, run_context
+from .config import Config
+from .runs import Phase, cache_key, cached_phase, guard, input_fingerprint, phase_table, run_context, run_flags
 
 SCHEMA = "1"
 
@@ -30,7 +30,7 @@ class Run:
         config.validate()
         self.spark, self.config, self.sources, self.libraries = spark, config, sources, libraries
         self.workspace = Path(config.workspace)
-        self.phases: list[PhaseResult] = []
+        self.phases: list[Phase] = []
 
     def path(self, name: str) -> str:
         return str(self.workspace / name)
@@ -42,12 +42,12 @@ class Run:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.path(name)
 
-    def _phase(self, name: str, outputs: list[str], settings: Any, upstream: list[str], compute: Callable[[], PhaseResult]) -> PhaseResult:
+    def _phase(self, name: str, outputs: list[str], settings: Any, upstream: list[str], compute: Callable[[], Phase]) -> Phase:
         key = cache_key(name, SCHEMA, self.fingerprint, settings, map(self.path, upstream))
         try:
             result = cached_phase(self.path(f"{name}.cache.json"), key, [self.path(o) for o in outputs], compute, self.config.force)
         except Exception as e:  # noqa: BLE001 - one phase's failure must not lose the others' results
-            result = PhaseResult(name, "failed", error=f"{type(e).__name__}: {e}")
+            result = Phase(name, "failed", trouble=f"{type(e).__name__}: {e}")
         self.phases.append(result)
         return result
 
@@ -59,14 +59,14 @@ class Run:
         first = self._phase("inventory", ["archives"], None, [], self._inventory)
         if first.status == "failed":
             # nothing sound to read: later phases would only repeat the failure
-            self.phases += [PhaseResult(n, "skipped", warnings=["the inventory failed"]) for n in ("code", "native", "resources", "evidence")]
+            self.phases += [Phase(n, "skipped", trouble="the inventory failed") for n in ("code", "native", "resources", "evidence")]
         else:
             c = self.config
             self._phase("code", ["files", "packages", "code_units"], [c.app_package, c.first_party_prefixes, c.third_party_prefixes, c.snippets_per_capability, self.sources], ["archives"], self._code)
             self._phase("native", ["targets", "tasks", "queue", "native_units"], [c.app_package, c.max_targets, c.max_libraries, c.per_library, c.target_capabilities, c.review_limit, c.first_party_hashes, c.third_party_hashes], ["files"], self._native)
             self._phase("resources", ["records", "resource_units"], [c.resource_scan], ["archives"], self._resources)
             self._phase("evidence", ["units", "nodes", "edges", "sample"], None, ["code_units", "native_units", "resource_units"], self._evidence)
-        out = summarize(self.phases)
+        out = {"phases": [p._asdict() for p in self.phases], **run_flags(phase_table(self.spark, self.phases))}
         write_document(self.path("summary.json"), out)
         return out
 
@@ -74,14 +74,14 @@ class Run:
         good = self.table("archives").where("success").select("archive")
         return src.read_archives(self.spark, self.config.input).join(good, "archive", "left_semi")
 
-    def _inventory(self) -> PhaseResult:
+    def _inventory(self) -> Phase:
         records = src.inventory(src.entries(src.read_archives(self.spark, self.config.input)))
         path = self._save("archives", records)
         n = self.table("archives").agg(F.count("*").alias("n"), F.count_if("success").alias("ok")).first()
         status = "failed" if not n["ok"] else "success" if n["n"] == n["ok"] else "partial"
-        return PhaseResult("inventory", status, [path], {"archives": n["n"], "sound": n["ok"]})
+        return Phase("inventory", status, [path], {"archives": n["n"], "sound": n["ok"]})
 
-    def _code(self) -> PhaseResult:
+    def _code(self) -> Phase:
         if self.sources is None:
             empty = self.spark.createDataFrame([], "file string, text string")
             files, status = empty, "skipped"
@@ -93,9 +93,9 @@ class Run:
         snips = code_index.snippets(index)
         outputs = [self.path("files"), self._save("packages", code_index.packages(index)), self._save("code_units", code_index.units(index, snips, self.config.snippets_per_capability))]
         failed = index.where("read_status = 'failed'").count()
-        return PhaseResult("code", "partial" if failed else status, outputs, {"failed_files": failed})
+        return Phase("code", "partial" if failed else status, outputs, {"failed_files": failed})
 
-    def _native(self) -> PhaseResult:
+    def _native(self) -> Phase:
         given = self.libraries if self.libraries is not None else self.spark.createDataFrame([], native.LIBRARY)
         records = native.analyzed(given, self.config)
         links = native.hints(self.table("files"), records)
@@ -103,14 +103,14 @@ class Run:
         ranked = self.table("targets")
         self._save("tasks", native.tasks(records, ranked, links))
         outputs = [self.path("targets"), self.path("tasks"), self._save("queue", native.review_queue(self.table("tasks"), self.config.review_limit)), self._save("native_units", native.units(records, ranked))]
-        return PhaseResult("native", "success" if self.libraries is not None else "skipped", outputs, {"targets": ranked.count()})
+        return Phase("native", "success" if self.libraries is not None else "skipped", outputs, {"targets": ranked.count()})
 
-    def _resources(self) -> PhaseResult:
+    def _resources(self) -> Phase:
         rows = self._sound() if self.config.resource_scan else self._sound().limit(0)
         self._save("records", resources.records(rows))
-        return PhaseResult("resources", "success" if self.config.resource_scan else "skipped", [self.path("records"), self._save("resource_units", resources.units(self.table("records")))])
+        return Phase("resources", "success" if self.config.resource_scan else "skipped", [self.path("records"), self._save("resource_units", resources.units(self.table("records")))])
 
-    def _evidence(self) -> PhaseResult:
+    def _evidence(self) -> Phase:
         self._save("units", packet.union_units({n: self.table(n) for n in ("code_units", "native_units", "resource_units")}))
         units = self.table("units")
         app = self.spark.createDataFrame([(self.config.app_package, None, None, None)], "package string, version_code string, version_name string, app_name string")
@@ -121,4 +121,4 @@ class Run:
         write_document(self.path("packet.json"), head)
         write_document(self.path("report.md"), packet.report("Evidence", counts, packet.capability_totals(units)))
         states = [p.status for p in self.phases]
-        return PhaseResult("evidence", "failed" if not head["units"] else "partial" if set(states) & {"failed", "partial"} else "success", outputs, head)
+        return Phase("evidence", "failed" if not head["units"] else "partial" if set(states) & {"failed", "partial"} else "success", outputs, head)

@@ -39,17 +39,18 @@ def records(archives: DataFrame, limit: int = PER_ARCHIVE) -> DataFrame:
     shown = F.when(~model, F.make_valid_utf8(F.col("data").cast("string")))
     rows = rows.withColumn("text", shown)
     rows = rows.withColumn("text_hits", F.when(~model, taxonomy.classify(F.substring("text", 1, 100_000))))
-    rows = rows.withColumn("model", F.when(model, model_metadata(F.col("path"), F.col("data"))))
+    rows = rows.withColumn("entropy", hashing.byte_entropy(F.when(model, F.col("data"))))
+    rows = rows.withColumn("model", F.when(model, model_metadata(F.col("path"), F.col("data"), F.col("entropy"))))
     union = F.concat(taxonomy.names(F.col("hits")), F.coalesce(taxonomy.names(F.col("text_hits")), _none()), F.coalesce(F.col("model.capabilities"), _none()))
-    return rows.withColumn("capabilities", taxonomy.in_taxonomy_order(union)).withColumn("text_sample", F.substring("text", 1, 2000)).drop("bytes", "data", "text")
+    return rows.withColumn("capabilities", taxonomy.in_taxonomy_order(union)).withColumn("text_sample", F.substring("text", 1, 2000)).drop("bytes", "data", "text", "entropy")
 
 
 def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def model_metadata(path: Column, data: Column) -> Column:
-    """Facts of a model file's bytes: format, magic, entropy, strings, operator hints, capabilities."""
+def model_metadata(path: Column, data: Column, entropy: Column) -> Column:
+    """Facts of a model file's bytes: format, magic, entropy (as byte_entropy gives it), strings, operator hints, capabilities."""
     strings = F.slice(text.printable_strings(data), 1, 800)
     magic = text.magic_offsets(data, "TFL3")
 
@@ -58,7 +59,7 @@ def model_metadata(path: Column, data: Column) -> Column:
         early = F.exists(m, lambda o: o <= 124)
         return F.struct(
             rules.model_format(path).alias("format"), early.alias("tflite_magic_present"), m.alias("tflite_magic_offsets"), (F.size(m) > 0).alias("embedded_tflite_magic_present"),
-            F.lower(F.hex(F.substring(data, 1, 32))).alias("header_hex"), hashing.byte_entropy(data).alias("entropy_first_mb"), ((rules.model_format(path) == "tflite") & ~early).alias("likely_wrapped_or_encrypted"),
+            F.lower(F.hex(F.substring(data, 1, 32))).alias("header_hex"), entropy.alias("entropy_first_mb"), ((rules.model_format(path) == "tflite") & ~early).alias("likely_wrapped_or_encrypted"),
             F.size(s).alias("string_count"), text.operator_hints(s, rules.OPERATOR_HINTS).alias("operator_hints"), taxonomy.names(taxonomy.classify(F.array_join(F.slice(s, 1, 300), " "))).alias("capabilities"),
             F.slice(s, 1, 120).alias("strings_sample"),
         )

@@ -8,10 +8,37 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import asdict, is_dataclass
 from datetime import UTC, datetime
 from pathlib import Path
-from typing import Any
+from typing import Any, NamedTuple
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import aggregates, quality
 from ..sources.documents import read_document, write_document
-from .config import RUN_ONLY, Config, PhaseResult
+from .config import RUN_ONLY, Config
+
+
+class Phase(NamedTuple):
+    """A row of a run's phase table. trouble: an error's text or a remark."""
+
+    name: str
+    status: str
+    outputs: list[str] = []
+    numbers: dict[str, Any] = {}
+    trouble: str | None = None
+
+
+def phase_table(spark: SparkSession, phases: Iterable[Phase]) -> DataFrame:
+    return spark.createDataFrame([(p.name, p.status) for p in phases], "phase string, status string")
+
+
+def run_flags(table: DataFrame) -> dict[str, bool]:
+    """What a run's phases come to. Raises ValueError on a status that no phase has."""
+    status = F.col("status")
+    row = aggregates.flags(table, has_partial=status == "partial", has_failed=status == "failed", odd=~status.isin("success", "partial", "failed", "skipped")).crossJoin(table.agg(quality.all_success(status).alias("all_success"))).first()
+    if row["odd"]:
+        raise ValueError("a phase has an unknown status")
+    return {k: row[k] for k in ("all_success", "has_partial", "has_failed")}
 
 
 class WorkspaceMismatch(RuntimeError):
@@ -100,12 +127,12 @@ def reusable(manifest: str | Path, key: str, outputs: Iterable[str | Path]) -> d
     return m
 
 
-def cached_phase(manifest: str | Path, key: str, outputs: list[str | Path], compute: Callable[[], PhaseResult], force: bool = False) -> PhaseResult:
-    """compute(), unless its outputs can be reused; then the stored result with details.cached."""
+def cached_phase(manifest: str | Path, key: str, outputs: list[str | Path], compute: Callable[[], Phase], force: bool = False) -> Phase:
+    """compute(), unless its outputs can be reused; then the stored row, with cached among its numbers."""
     if not force and (m := reusable(manifest, key, outputs)):
-        r = m["result"]
-        return PhaseResult(r["phase"], r["status"], r["outputs"], {**r["details"], "cached": True}, r["error"], r["warnings"])
-    result = compute()
-    if result.status in ("success", "partial"):
-        write_document(manifest, {"key": key, "at": datetime.now(UTC).isoformat(), "outputs": [file_identity(o) for o in outputs], "result": result.to_dict()})
-    return result
+        kept = Phase(*m["phase"])
+        return kept._replace(numbers={**kept.numbers, "cached": True})
+    row = compute()
+    if row.status in ("success", "partial"):
+        write_document(manifest, {"key": key, "at": datetime.now(UTC).isoformat(), "outputs": [file_identity(o) for o in outputs], "phase": list(row)})
+    return row
