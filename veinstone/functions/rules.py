@@ -350,6 +350,11 @@ def package_of_path(path: Column) -> Column:
     return F.nullif(F.translate(F.regexp_extract(path, r"(?:^|/)sources/(.+)/[^/]+$", 1), "/", "."), F.lit(""))
 
 
+def split_name(path: Column) -> Column:
+    """The first folder of a path, which names the split it came from; null for an empty path."""
+    return F.nullif(F.split_part(F.translate(path, "\\", "/"), F.lit("/"), F.lit(1)), F.lit(""))
+
+
 def signature(package: Column, cls: Column, path: Column) -> Column:
     """package.Class where both are known, else the path, else the class."""
     known = F.nullif(package, F.lit("")).isNotNull() & F.nullif(cls, F.lit("")).isNotNull()

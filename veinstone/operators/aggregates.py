@@ -31,6 +31,16 @@ def conditional_counts(hits: DataFrame, name: str, is_code: Column, ownership: C
     )
 
 
+def ownership_files(files: DataFrame, is_code: Column) -> DataFrame:
+    """(ownership, files, code_files)."""
+    return files.groupBy("ownership").agg(F.count("*").alias("files"), F.count_if(is_code).alias("code_files"))
+
+
+def ownership_capabilities(hits: DataFrame, name: str) -> DataFrame:
+    """(ownership, capability, n) of rows of one capability each."""
+    return hits.groupBy("ownership", F.col(name).alias("capability")).agg(F.count("*").alias("n"))
+
+
 def package_rollup(files: DataFrame, samples: int = 20) -> DataFrame:
     """(package, file_count, ownership, sample_files, capabilities) from (package, file, ownership, capabilities).
 
@@ -44,7 +54,14 @@ def package_rollup(files: DataFrame, samples: int = 20) -> DataFrame:
     caps = files.select("package", "file", F.explode("capabilities").alias("c")).groupBy("package", "c").agg(F.count("*").alias("k"), F.min("file").alias("f"))
     line = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("neg"), "f", "c")))
     listed = caps.groupBy("package").agg(F.array_join(F.transform(line, lambda x: F.concat(x["c"], F.lit("="), (-x["neg"]).cast("string"))), ",").alias("capabilities"))
-    return base.join(first, "package", "left").join(listed, "package", "left").withColumn("capabilities", F.coalesce("capabilities", F.lit("")))
+    out = _with(_with(base, first, "package"), listed, "package")
+    return out.withColumn("capabilities", F.coalesce("capabilities", F.lit("")))
+
+
+def _with(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join by a key that may be null."""
+    other = right.withColumnRenamed(key, "__key")
+    return left.join(other, left[key].eqNullSafe(other["__key"]), "left").drop("__key")
 
 
 def stratified_per_group(rows: DataFrame, group: str, bucket: Sequence[str], order: Sequence[Column], bucket_order: Sequence[Column], limit: int) -> DataFrame:
@@ -64,7 +81,7 @@ def distinct_lists(rows: DataFrame, key: str, value: str, limit: int) -> DataFra
     n = rows.groupBy(key).agg(F.count("*").alias("n"))
     w = Window.partitionBy(key).orderBy(value)
     top = rows.select(key, value).distinct().withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit)
-    return n.join(top.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values")), key)
+    return _with(n, top.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values")), key)
 
 
 def models_and_top(rows: DataFrame, group: Sequence[str], model: str, order: Sequence[Column], k: int) -> DataFrame:

@@ -19,18 +19,15 @@ def link_by_stem(files: DataFrame, libraries: DataFrame, broadcast_rows: int = 1
     """(file, library, match_type): files(file, stems, n_methods) to libraries(library, stem) they load.
 
     Stems join by equality. A file with native methods whose stems match nothing is linked to every
-    library (match_type fallback): libraries of one application are few, and their number is checked
-    before they are broadcast.
+    library (match_type fallback): as many rows as the result has by its definition. Libraries are
+    broadcast for it up to `broadcast_rows` of them, beyond that both sides stay distributed.
     """
     wanted = files.select("file", "n_methods", F.explode_outer(F.array_distinct("stems")).alias("stem"))
     hits = wanted.join(libraries, "stem").select("file", "library").distinct().withColumn("match_type", F.lit("load_library"))
     rest = files.where("n_methods > 0").join(hits.select("file").distinct(), "file", "left_anti").select("file")
     every = libraries.select("library").distinct()
-    n = every.count()
-    if n > broadcast_rows:
-        raise ValueError(f"{n} libraries: split the input by application before linking without a stem")
-    fallback = rest.crossJoin(F.broadcast(every)).withColumn("match_type", F.lit("fallback"))
-    return hits.unionByName(fallback)
+    every = F.broadcast(every) if every.count() <= broadcast_rows else every
+    return hits.unionByName(rest.crossJoin(every).withColumn("match_type", F.lit("fallback")))
 
 
 def link_symbols(methods: DataFrame, symbols: DataFrame, by: Sequence[str] = ("library",)) -> DataFrame:
@@ -125,3 +122,12 @@ def validate_import(results: DataFrame, tasks: DataFrame, libraries: DataFrame,
         F.when(e("pseudocode").isNull(), "pseudocode is empty"),
     )
     return j.select(*results.columns, final.alias("error"), F.when(final.isNull(), F.col("verification")).alias("verification"))
+
+
+def queued_candidates(queue: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidate of each queued task, in the queue's columns first: queue(task_id, ...), candidates(task_id, ord, ...).
+
+    Of candidates with one id the last by ord counts; tasks without a candidate go.
+    """
+    found = last_by(candidates, ["task_id"], [F.col("ord")]).drop("ord")
+    return queue.join(found, "task_id")

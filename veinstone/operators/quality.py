@@ -71,22 +71,37 @@ def phase_status(failed: Column, partial: Column, skipped: Column | None = None)
     return out if skipped is None else F.when(skipped, "skipped").otherwise(out)
 
 
+def native_status(errors: Column, libraries: Column, wanted: Column, plan_status: Column, failures: Column, import_status: Column, handoff_status: Column) -> Column:
+    """Status of the native stage from counts and the statuses of its parts.
+
+    failed: errors and no library at all. partial: errors, a decompilation that was wanted and is not
+    complete or has failures, or an import or handoff that is itself partial or failed.
+    """
+    short = lambda c: F.coalesce(c.isin("partial", "failed"), F.lit(False))
+    undone = wanted & ((F.coalesce(plan_status, F.lit("")) != "completed") | (failures > 0))
+    return phase_status((errors > 0) & (libraries == 0), (errors > 0) | undone | short(import_status) | short(handoff_status))
+
+
 def all_success(status: Column) -> Column:
     """Skipped phases do not count against success."""
     return F.coalesce(F.bool_and(status.isin("success", "skipped")), F.lit(True))
 
 
 def dependency_state(required: DataFrame, present: DataFrame, upstream: DataFrame) -> DataFrame:
-    """One row (missing, failed_upstream, complete): required(source, kind), present(source, kind), upstream(phase, status).
+    """One row (required_sources, valid_sources, missing, invalid, failed_upstream, complete).
 
-    A source is missing if it is absent or of another kind. An upstream phase counts as complete if it
-    succeeded or was skipped.
+    required(source, kind), present(source, kind), upstream(phase, status). A source is missing if it is
+    absent and invalid if it is of another kind. Every upstream phase must have succeeded.
     """
     got = required.join(present.select("source", F.col("kind").alias("found")), "source", "left")
-    lost = got.where(F.col("found").isNull() | (F.col("found") != F.col("kind"))).agg(F.array_sort(F.collect_set("source")).alias("missing"))
-    bad = upstream.where(~F.col("status").isin("success", "skipped")).agg(F.array_sort(F.collect_set("phase")).alias("failed_upstream"))
+    absent, odd = F.col("found").isNull(), F.col("found") != F.col("kind")
+    state = got.agg(
+        F.count("*").alias("required_sources"), F.count_if(~absent & ~odd).alias("valid_sources"),
+        F.array_sort(F.collect_set(F.when(absent, F.col("source")))).alias("missing"), F.array_sort(F.collect_set(F.when(odd, F.col("source")))).alias("invalid"),
+    )
+    bad = upstream.where("status <> 'success'").agg(F.array_sort(F.collect_set("phase")).alias("failed_upstream"))
     # both sides are one row
-    return lost.crossJoin(bad).withColumn("complete", (F.size("missing") == 0) & (F.size("failed_upstream") == 0))
+    return state.crossJoin(bad).withColumn("complete", (F.size("missing") == 0) & (F.size("invalid") == 0) & (F.size("failed_upstream") == 0))
 
 
 def coverage(done: Column, expected: Column) -> Column:

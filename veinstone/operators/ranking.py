@@ -27,6 +27,11 @@ def round_robin(rows: DataFrame, bucket: Sequence[str], order: Sequence[Column],
     return out.drop("__turn")
 
 
+def first_ranked(rows: DataFrame, order: Sequence[Column], limit: int, rank: str) -> DataFrame:
+    """The first rows in order with their rank from 1: an ordered limit, then a window over the rows that are left."""
+    return rows.orderBy(*order).limit(limit).withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group; Spark ranks within map tasks first."""
     w = Window.partitionBy(*group).orderBy(*order)

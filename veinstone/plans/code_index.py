@@ -41,6 +41,16 @@ def readable(index: DataFrame) -> DataFrame:
     return index.where("read_status = 'success'")
 
 
+def file_order() -> list[Column]:
+    """Index records: ownership, best score, file."""
+    return [rules.ownership_rank(F.coalesce("ownership.category", F.lit("unknown"))), F.desc("score"), F.col("file")]
+
+
+def unit_order() -> list[Column]:
+    """Units of the code stage: ownership, best confidence, kind, file."""
+    return [rules.ownership_rank(F.coalesce("category", F.lit("unknown"))), F.desc(F.coalesce("confidence", F.lit(0.0))), F.coalesce("kind", F.lit("")), F.coalesce("file", F.lit(""))]
+
+
 def is_comparison() -> Column:
     """Java or Kotlin of the application itself or of unknown origin."""
     return F.col("source_type").isin("java", "kt") & F.col("ownership.category").isin("first_party", "unknown")

@@ -88,6 +88,65 @@ def decompile_plan(ranked: DataFrame, config: Config = Config()) -> DataFrame:
     return ranking.budget_plan(rows, "library", target_order(), config.max_decompile_targets, config.max_libraries)
 
 
+#: Least score of a target that is worth a decompiler, and of one with a capability.
+HIGH_SCORE, HIGH_SCORE_WITH_CAPABILITY = 18, 12
+#: Decompilers that run unattended.
+AUTOMATED = ("rizin", "radare2")
+
+
+def decompile_decision(ranked: DataFrame, tool: str | None) -> DataFrame:
+    """One row (attempt, reason, candidate_count, high_value_target_count, top_score): whether to decompile at all.
+
+    ranked(kind, score, capabilities). tool is the decompiler at hand, or null. The first reason that
+    holds counts: no callable target, no tool, a tool that does not run unattended, targets of high
+    value, only others. top_score is that of the high-value targets, else of all callable ones.
+    """
+    score = F.coalesce("score", F.lit(0))
+    high = (score >= HIGH_SCORE) | ((F.size(F.coalesce("capabilities", F.array().cast("array<string>"))) > 0) & (score >= HIGH_SCORE_WITH_CAPABILITY))
+    n = ranked.where(rules.is_callable(F.col("kind"))).agg(F.count("*").alias("n"), F.count_if(high).alias("h"), F.max(F.when(high, score)).alias("top_high"), F.max(score).alias("top"))
+    reason = (
+        F.when(F.col("n") == 0, "no_callable_native_targets").when(F.lit(tool is None), "decompiler_missing").when(F.lit(tool not in AUTOMATED), "decompiler_adapter_not_automated")
+        .when(F.col("h") > 0, "high_value_native_targets").otherwise("low_value_native_targets")
+    )
+    judged = F.col("reason").isin("high_value_native_targets", "low_value_native_targets")
+    return n.withColumn("reason", reason).select(
+        (F.col("reason") == "high_value_native_targets").alias("attempt"), "reason", F.col("n").alias("candidate_count"), F.when(F.col("reason") == "high_value_native_targets", F.col("h")).alias("high_value_target_count"),
+        F.when(judged, F.coalesce("top_high", "top")).alias("top_score"),
+    )
+
+
+def function_order() -> list[Column]:
+    """Functions of a library: best score, kind, address (as text), name."""
+    return [F.desc("score"), F.coalesce("kind", F.lit("")), F.coalesce("address", F.lit("")), F.coalesce("name", F.lit(""))]
+
+
+def library_order() -> list[Column]:
+    """Libraries: most capability hits, name, ABI."""
+    total = F.aggregate(F.map_values("capability_counts"), F.lit(0), lambda a, x: a + x)
+    return [F.desc(F.coalesce(total, F.lit(0))), F.coalesce("name", F.lit("")), F.coalesce("abi", F.lit(""))]
+
+
+def native_unit_order() -> list[Column]:
+    return [F.desc(F.coalesce("confidence", F.lit(0.0))), F.coalesce("kind", F.lit("")), F.coalesce("name", F.lit(""))]
+
+
+def feature_order() -> list[Column]:
+    """Function features: library, best score, name."""
+    return [F.coalesce("library", F.lit("")), F.desc(F.coalesce("score", F.lit(0))), F.coalesce("name", F.lit(""))]
+
+
+def symbol_order() -> list[Column]:
+    return [F.coalesce("address", F.lit("")), F.coalesce("name", F.lit(""))]
+
+
+def function_index(records: DataFrame, per_library: int | None = None) -> DataFrame:
+    """Scored functions of each library with their rank in function_order; per_library keeps the first ones only."""
+    rows = symbols(records).withColumn("t", scoring.text_score(F.concat_ws(" ", "library", F.when(F.col("kind") != "library", F.col("name")))))
+    rows = rows.withColumn("score", scoring.index_score(F.col("t.score"), F.col("kind"))).withColumn("capabilities", F.col("t.capabilities")).drop("t")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("library").orderBy(*function_order())))
+    return rows if per_library is None else rows.where(F.col("rank") <= per_library)
+
+
 def hints(index: DataFrame, records: DataFrame) -> DataFrame:
     """Java to native links: (library, symbol, address, java_file, java_method, match_type), once each."""
     files = index.select("file", "package", "class_name", "native_methods", F.transform("load_libraries", lambda x: rules.library_stem(x)).alias("stems"), F.size("native_methods").alias("n_methods")).where("n_methods > 0 or size(stems) > 0")

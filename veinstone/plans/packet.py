@@ -10,11 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_id
-from ..operators import ranking
+from ..operators import aggregates, ranking
 from ..sources.documents import markdown_table
 
 SAMPLE = 250
-COLUMNS = ("unit_id", "phase", "kind", "file", "path", "library", "name", "source_type", "package", "signature", "category", "capabilities", "native_libraries", "score", "confidence", "token_fingerprint", "source_file")
+# The packet's columns of a unit, in order.
+COLUMNS = (
+    "unit_id", "kind", "phase", "source_type", "label", "file", "path", "line", "apk", "entry", "split", "package", "ownership", "class_name", "method_names", "native_methods",
+    "native_libraries", "library", "library_name", "library_sha256", "abi", "address", "symbol", "target_kind", "name", "model_path", "sha256", "size_bytes", "capabilities", "confidence",
+    "score", "reasons", "feature_hash", "pseudocode_path", "pseudocode_excerpt", "pseudocode_fingerprint", "evidence_source", "identity_verification", "decompiled", "algorithm_recovered",
+    "algorithm_body_candidate", "semantic_role", "semantic_confidence", "semantic_reasons", "instruction_count", "basic_block_count", "cfg_edge_count", "call_targets", "string_refs",
+    "token_fingerprint", "token_shingle_signature", "graph_fingerprint", "subgraph_count", "operator_count", "tensor_count", "operator_counts", "source_file",
+)
+#: Columns that are the first non-empty of several, and units' own names for packet columns.
+FIRST_OF = {"label": ("signature", "name", "path", "file"), "name": ("name", "symbol"), "model_path": ("model_path", "path"), "ownership": ("ownership", "category"), "apk": ("apk", "archive")}
 
 
 def union_units(parts: Mapping[str, DataFrame]) -> DataFrame:
@@ -64,16 +73,45 @@ def capability_totals(units: DataFrame) -> DataFrame:
 
 
 def report(title: str, counts: DataFrame, totals: DataFrame, limit: int = 200) -> str:
-    """A short Markdown report from two small aggregates."""
-    a = counts.orderBy("phase", "kind").limit(limit).collect()
-    b = totals.orderBy("capability", "phase").limit(limit).collect()
+    """A short Markdown report from two small aggregates; a table of more than `limit` rows says how many it has left out."""
+
+    def shown(table: DataFrame, *order: str) -> list[str]:
+        rows = table.orderBy(*order).limit(limit + 1).collect()
+        out = [markdown_table(rows[:limit], table.columns)]
+        return out if len(rows) <= limit else [*out, "", f"{table.count() - limit} further rows are in the tables."]
+
     note = "Totals over phases mix different units and do not compare between inputs."
-    return "\n".join([f"# {title}", "", "## Units", "", markdown_table(a, counts.columns), "", "## Capabilities", "", note, "", markdown_table(b, totals.columns), ""])
+    return "\n".join([f"# {title}", "", "## Units", "", *shown(counts, "phase", "kind"), "", "## Capabilities", "", note, "", *shown(totals, "capability", "phase"), ""])
 
 
 def high_value(units: DataFrame) -> DataFrame:
-    """The packet's columns of units; columns that no table has are null."""
-    return units.select(*[F.col(c) if c in units.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
+    """The packet's columns of units; columns that no table has are null, and no capabilities an empty list."""
+    kind = dict(units.dtypes)
+
+    def column(c: str) -> Column:
+        found = [F.nullif(F.col(x), F.lit("")) if kind[x] == "string" else F.col(x) for x in FIRST_OF.get(c, (c,)) if x in kind]
+        if c == "capabilities":
+            found.append(F.array().cast("array<string>"))
+        return (F.coalesce(*found) if found else F.lit(None).cast("string")).alias(c)
+
+    return units.select(*map(column, COLUMNS))
+
+
+def models(records: DataFrame, limit: int = 40) -> DataFrame:
+    """The first models by archive and path, with their facts, for the packet."""
+    m = F.col("model")
+    rows = records.where("kind = 'model'").orderBy("archive", "path").limit(limit)
+    return rows.select(
+        F.col("archive").alias("apk"), "path", F.col("entry_size").alias("size_bytes"), "sha256", m["format"].alias("format"), m["tflite_magic_present"].alias("tflite_magic_present"), m["tflite_magic_offsets"].alias("tflite_magic_offsets"),
+        m["embedded_tflite_magic_present"].alias("embedded_tflite_magic_present"), m["likely_wrapped_or_encrypted"].alias("likely_wrapped_or_encrypted"), m["entropy_first_mb"].alias("entropy_first_mb"),
+        m["operator_hints"].alias("operator_hints"), m["capabilities"].alias("capabilities"), F.slice(m["strings_sample"], 1, 20).alias("strings_sample"),
+    )
+
+
+def url_lists(code: DataFrame, native: DataFrame, limit: int = 100) -> DataFrame:
+    """(source, urls): the first distinct URLs of both stages, cut before they are gathered; inputs have a urls array."""
+    rows = code.select(F.lit("code_urls").alias("source"), F.explode("urls").alias("url")).unionByName(native.select(F.lit("native_urls").alias("source"), F.explode("urls").alias("url")))
+    return aggregates.distinct_lists(rows, "source", "url", limit).select("source", F.col("values").alias("urls"))
 
 
 def packet(units: DataFrame, header: Mapping[str, Any], limit: int = SAMPLE) -> tuple[DataFrame, DataFrame, dict[str, Any]]:

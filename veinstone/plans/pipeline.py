@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, quality
 from ..sources import archives as src
 from ..sources.documents import write_document
 from . import code_index, native, packet, resources
@@ -52,8 +52,7 @@ class Run:
         return result
 
     def execute(self) -> dict[str, Any]:
-        files = sorted(p for p in Path(self.config.input).rglob("*") if p.is_file()) if Path(self.config.input).is_dir() else [Path(self.config.input)]
-        self.fingerprint = input_fingerprint(files)
+        self.fingerprint = input_fingerprint(self.spark, self.config.input)
         guard(self.workspace, self.fingerprint)
         write_document(self.path("run.json"), run_context(self.fingerprint, self.config))
         first = self._phase("inventory", ["archives"], None, [], self._inventory)
@@ -120,5 +119,14 @@ class Run:
         outputs.append(self._save("sample", chosen))
         write_document(self.path("packet.json"), head)
         write_document(self.path("report.md"), packet.report("Evidence", counts, packet.capability_totals(units)))
-        states = [p.status for p in self.phases]
-        return Phase("evidence", "failed" if not head["units"] else "partial" if set(states) & {"failed", "partial"} else "success", outputs, head)
+        state = self._dependencies()
+        write_document(self.path("dependencies.json"), state)
+        return Phase("evidence", "failed" if not head["units"] else "success" if state["complete"] else "partial", outputs, head)
+
+    def _dependencies(self) -> dict[str, Any]:
+        """Whether every table that the evidence draws on is there, and every phase before it that ran has succeeded."""
+        names = ("archives", "files", "packages", "code_units", "targets", "native_units", "records", "resource_units")
+        required = self.spark.createDataFrame([(n, "table") for n in names], "source string, kind string")
+        present = self.spark.createDataFrame([(n, "table" if any(Path(self.path(n)).glob("*.parquet")) else "folder") for n in names if Path(self.path(n)).exists()], "source string, kind string")
+        ran = phase_table(self.spark, [p for p in self.phases if p.status != "skipped"])
+        return quality.dependency_state(required, present, ran).first().asDict()

@@ -80,10 +80,15 @@ def file_identity(path: str | Path) -> dict[str, Any]:
     return {"path": str(p), "name": p.name, "exists": True, "size": size, "sha256": h.hexdigest()}
 
 
-def input_fingerprint(paths: Iterable[str | Path]) -> str:
-    """Hash of names, sizes and contents; where the files lie does not matter."""
-    found = [{k: v for k, v in file_identity(p).items() if k != "path"} for p in paths]
-    return canonical_hash(sorted(found, key=lambda x: x["name"]))
+def input_fingerprint(spark: SparkSession, path: str) -> str:
+    """Hash of the names, sizes and contents of a file or of all files below a folder; where they lie does not matter.
+
+    Files are read and hashed by the executors, from any file system that Spark reads.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    each = F.concat_ws(" ", F.regexp_extract("path", r"[^/]*$", 0), F.col("length").cast("string"), F.sha2("content", 256))
+    # a short line a file reaches one task, and one hash the driver
+    return files.select(each.alias("x")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("h")).first()["h"]
 
 
 def analysis_id(fingerprint: str, config: Config) -> str:

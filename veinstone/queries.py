@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import hashing, rules, text
 from .operators import aggregates, graph, linking, quality, ranking, scoring, taxonomy
+from .plans import packet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,12 +114,12 @@ def q_conditional_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SF}, {_classified_sql()} SELECT ownership, name AS capability, count(*) AS n FROM cl GROUP BY 1, 2")
 def q_ownership_capability(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d).groupBy("ownership", F.col("name").alias("capability")).agg(F.count("*").alias("n"))
+    return aggregates.ownership_capabilities(_hits(spark, d), "name")
 
 
 @query(f"WITH {SF} SELECT ownership, count(*) AS files, count(*) FILTER (WHERE source_type <> 'xml') AS code_files FROM sf GROUP BY 1")
 def q_ownership_files(spark: SparkSession, d: str) -> DataFrame:
-    return source_files(spark, d).groupBy("ownership").agg(F.count("*").alias("files"), F.count_if(F.col("source_type") != "xml").alias("code_files"))
+    return aggregates.ownership_files(source_files(spark, d), F.col("source_type") != "xml")
 
 
 _SNIPPETS_SQL = f"""{SF}, {_classified_sql()}, ln AS (SELECT doc_id, file, ownership, source, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS text, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS line FROM sf),
@@ -369,7 +370,7 @@ def q_review_queue(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_T}, q AS (SELECT *, row_number() OVER (ORDER BY score DESC, library, task, line) AS rank FROM t QUALIFY rank <= 500), k AS (SELECT *, min(rank) OVER (PARTITION BY library, kind) AS f FROM q)
     SELECT library, kind, task, line FROM (SELECT *, dense_rank() OVER (ORDER BY f) AS n FROM k) WHERE n <= 12""")
 def q_handoff_first_n(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranking.round_robin(_targets(spark, d).withColumn("one", F.lit(1)).withColumn("b", F.concat_ws("-", "library", "task", "line")), ["b"], [F.col("b")], _order(), 500, rank="rank")
+    rows = ranking.first_ranked(_targets(spark, d), _order(), 500, "rank")
     return ranking.first_distinct(rows, ["library", "kind"], "rank", 12).select("library", "kind", "task", "line")
 
 
@@ -454,16 +455,16 @@ def q_union_units(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.lit("source").alias("phase"), F.col("lang").alias("kind"), F.col("doc_id").alias("file"))
     pages = table(spark, d, "pages").select(F.lit("page").alias("phase"), F.lit("html").alias("kind"), F.col("page_id").alias("path"))
     talk = table(spark, d, "conversations").select(F.lit("talk").alias("phase"), F.col("role").alias("kind"))
-    units = docs.unionByName(pages, allowMissingColumns=True).unionByName(talk, allowMissingColumns=True)
-    return units.groupBy("phase", "kind").agg(F.count("*").alias("available"))
+    units = packet.union_units({"docs": docs, "pages": pages, "talk": talk})
+    return packet.kind_counts(units, units).select("phase", "kind", F.col("discovered").alias("available"))
 
 
 @query("""WITH a AS (SELECT 'source' AS phase, lang AS capability, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'page', CASE WHEN contains(url, '/fr') THEN 'fr' ELSE 'en' END, count(*) FROM pages GROUP BY 2)
-    SELECT capability, phase, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY ROLLUP (capability, phase)""")
+    SELECT capability, phase, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY ROLLUP (capability, phase) HAVING grouping(capability) = 0""")
 def q_phase_rollup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.lit("source").alias("phase"), F.col("lang").alias("capability"))
     pages = table(spark, d, "pages").select(F.lit("page").alias("phase"), F.when(F.contains("url", F.lit("/fr")), "fr").otherwise("en").alias("capability"))
-    return docs.unionByName(pages).rollup("capability", "phase").agg(F.count("*").alias("n"))
+    return packet.capability_totals(docs.unionByName(pages).select("phase", F.array("capability").alias("capabilities")))
 
 
 # ---- graph
@@ -585,12 +586,15 @@ def q_completeness(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "completeness", "status")
 
 
-@query("SELECT 'events' AS missing, 'native' AS failed_upstream, false AS complete")
+@query("""WITH r AS (SELECT 'p' || p_partkey AS source, p_partkey % 10 = 0 AS odd, p_partkey IN (SELECT l_partkey FROM lineitem) AS there FROM part)
+    SELECT count(*) AS required_sources, count(*) FILTER (WHERE there AND NOT odd) AS valid_sources, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE NOT there), '') AS missing, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE there AND odd), '') AS invalid,
+        (SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FROM orders WHERE NOT starts_with(o_orderpriority, '1')) AS failed_upstream, false AS complete FROM r""")
 def q_dependency_state(spark: SparkSession, d: str) -> DataFrame:
-    required = spark.createDataFrame([("documents", "list"), ("events", "list"), ("pages", "list")], "source string, kind string")
-    present = spark.createDataFrame([("documents", "list"), ("events", "dict"), ("pages", "list")], "source string, kind string")
-    upstream = spark.createDataFrame([("code", "success"), ("native", "partial"), ("resources", "skipped")], "phase string, status string")
-    return quality.dependency_state(required, present, upstream).select(F.array_join("missing", ",").alias("missing"), F.array_join("failed_upstream", ",").alias("failed_upstream"), "complete")
+    required = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("source"), F.lit("list").alias("kind"))
+    present = table(spark, d, "lineitem").select("l_partkey").distinct().select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.when(F.col("l_partkey") % 10 == 0, "dict").otherwise("list").alias("kind"))
+    upstream = table(spark, d, "orders").select(F.col("o_orderpriority").alias("phase"), F.when(F.startswith("o_orderpriority", F.lit("1")), "success").otherwise("partial").alias("status")).distinct()
+    got = quality.dependency_state(required, present, upstream)
+    return got.withColumns({c: F.array_join(c, ",") for c in ("missing", "invalid", "failed_upstream")})
 
 
 @query("""SELECT l_suppkey, round(least(1.0, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0)), 4) AS coverage FROM lineitem GROUP BY 1""")

@@ -158,6 +158,16 @@ def native_entries(rows: DataFrame) -> DataFrame:
     return libs.select("archive", "path", F.get(F.split("path", "/"), F.lit(1)).alias("abi"), file_name(F.col("path")).alias("name"), "entry_size")
 
 
+def verified(selected: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+    """selected(path, sha256, ...) with skipped: null where the file's content still has that hash, else the reason.
+
+    files(path, content), as Spark's binaryFile source gives them; contents are hashed on the executors.
+    """
+    now = files.select(F.col(key), F.sha2("content", 256).alias("__now"))
+    why = F.when(F.col("__now").isNull(), "library_file_missing").when(F.col("__now") != F.lower("sha256"), "library_hash_mismatch")
+    return selected.join(now, key, "left").withColumn("skipped", why).drop("__now")
+
+
 def dex_classes(data: Column) -> Column:
     """Class definitions in a DEX header (little-endian 32-bit number at 0x60); null for other data."""
     b = lambda i: F.hex(F.substring(data, 0x61 + i, 1))
