@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_id
+from ..functions.rules import dangerous
 from ..operators import aggregates, ranking
 from ..sources.documents import markdown_table
 
@@ -108,6 +109,20 @@ def models(records: DataFrame, limit: int = 40) -> DataFrame:
     )
 
 
+def brief_manifest(manifests: DataFrame) -> DataFrame:
+    """A manifest's row in short: its lists as counts, and its dangerous permissions by name.
+
+    manifests(apk, success, status, completeness_score, field_warnings, package, app_name, version_name,
+    version_code, permissions, activities, services, receivers, providers).
+    """
+    size = lambda c: F.coalesce(F.size(F.coalesce(c, F.array().cast("array<string>"))), F.lit(0))
+    parts = ("activities", "services", "receivers", "providers")
+    return manifests.select(
+        "apk", "success", "status", "completeness_score", size(F.col("field_warnings")).alias("field_warning_count"), "package", "app_name", "version_name", "version_code", size(F.col("permissions")).alias("permissions_count"),
+        dangerous(F.coalesce("permissions", F.array().cast("array<string>"))).alias("dangerous_permissions"), F.struct(*[size(F.col(c)).alias(c) for c in parts]).alias("component_counts"),
+    )
+
+
 def url_lists(code: DataFrame, native: DataFrame, limit: int = 100) -> DataFrame:
     """(source, urls): the first distinct URLs of both stages, cut before they are gathered; inputs have a urls array."""
     rows = code.select(F.lit("code_urls").alias("source"), F.explode("urls").alias("url")).unionByName(native.select(F.lit("native_urls").alias("source"), F.explode("urls").alias("url")))

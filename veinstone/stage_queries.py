@@ -218,6 +218,18 @@ def q_url_lists(spark: SparkSession, d: str) -> DataFrame:
     return packet.url_lists(pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1")).select("source", F.array_join("urls", " ").alias("urls"))
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS apk, CAST(o_orderkey % 3 AS INT) AS permissions_count, CASE WHEN o_orderkey % 3 = 2 THEN 'x.READ_SMS' ELSE '' END AS dangerous, 1 AS activities, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS INT) AS services, 0 AS providers FROM orders""")
+def q_brief_manifest(spark: SparkSession, d: str) -> DataFrame:
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    names = F.array().cast("array<string>")
+    rows = table(spark, d, "orders").select(
+        k.cast("string").alias("apk"), F.lit(True).alias("success"), F.lit("success").alias("status"), F.lit(1.0).alias("completeness_score"), names.alias("field_warnings"), none.alias("package"), none.alias("app_name"), none.alias("version_name"), none.alias("version_code"),
+        F.slice(F.array(F.lit("x.INTERNAL"), F.lit("x.READ_SMS")), F.lit(1), (k % 3).cast("int")).alias("permissions"), F.array(F.lit("A")).alias("activities"), F.when(k % 2 == 0, F.array(F.lit("S"), F.lit("T"))).alias("services"), names.alias("receivers"), F.lit(None).cast("array<string>").alias("providers"),
+    )
+    got = packet.brief_manifest(rows)
+    return got.select("apk", "permissions_count", F.array_join("dangerous_permissions", ",").alias("dangerous"), "component_counts.activities", "component_counts.services", "component_counts.providers")
+
+
 # ---- counters and statuses
 
 
