@@ -1,9 +1,9 @@
 """Benchmark decontamination against a broadcast hash set of test windows. DataFrame operations only.
 
-The set is one array of bits, of the same size for any benchmark, that every scan task gets as the value of
-a subquery. A window's first words are hashed to two bits. Where both are set in a text, the whole window is
-compared with the table of windows. So the corpus is scanned once, however large the benchmark is; a larger
-one only sets more bits, and more places are compared.
+The set is one array of 64-bit words, of the same size for any benchmark, that every scan task gets as the
+value of a subquery. A window's first words are hashed to a place in it and to two bits there. Where a text
+has a place with both bits, the whole window is compared with the table of windows. So the corpus is scanned
+once, however large the benchmark is; a larger one only sets more bits, and more places are compared.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, ascii_lower, numbered, words, written
+from .common import ROW, ascii_lower, let, numbered, words, written
 
 #: What separates words: ASCII other than 0-9 and a-z after lower-casing.
 SPLITTER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,22 +38,26 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return rows.groupBy("win", "len").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _anchor(w: Column, i: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(w, i + k) for k in range(n)])
+def _first(w: Column, i: Column, n: int) -> list[Column]:
+    return [F.get(w, i + k) for k in range(n)]
 
 
-def _places(h: Column) -> list[tuple[Column, Column]]:
-    """(word, bit) of the two bits of a hash."""
-    mask = (1 << WORDS_LOG2) - 1
-    return [(x.bitwiseAND(F.lit(mask)).cast("int"), F.shiftrightunsigned(x, WORDS_LOG2).bitwiseAND(F.lit(63)).cast("int")) for x in (h, F.shiftrightunsigned(h, 32))]
+def _place(words: list[Column]) -> Column:
+    """Where in the set the first words of a window are looked up."""
+    return F.hash(*words).bitwiseAND(F.lit((1 << WORDS_LOG2) - 1))
+
+
+def _bits(words: list[Column]) -> Column:
+    """A 64-bit word with the two bits of the first words of a window."""
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return let(F.xxhash64(*words), lambda h: one(h).bitwiseOR(one(F.shiftrightunsigned(h, 32))))
 
 
 def hash_set(windows: DataFrame) -> DataFrame:
-    """(bits): one row, the array of 64-bit words with the bits of all windows' anchors."""
-    w = F.split("win", " ")
-    anchor = F.coalesce(*[F.when(F.least("len", F.lit(ANCHOR)) == n, _anchor(w, F.lit(0), n)) for n in range(1, ANCHOR + 1)])
-    places = windows.select(anchor.alias("h")).distinct().select(F.explode(F.array(*[F.struct(a.alias("word"), b.alias("bit")) for a, b in _places(F.col("h"))])).alias("p")).select("p.*")
-    some = places.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("v"))
+    """(bits): one row, the array of 64-bit words with the bits of all windows."""
+    w, i = F.split("win", " "), F.lit(0)
+    entry = F.coalesce(*[F.when(F.least("len", F.lit(ANCHOR)) == n, F.struct(_place(_first(w, i, n)).alias("word"), _bits(_first(w, i, n)).alias("v"))) for n in range(1, ANCHOR + 1)])
+    some = windows.select(entry.alias("e")).select("e.*").groupBy("word").agg(F.bit_or("v").alias("v"))
     every = windows.sparkSession.range(1 << WORDS_LOG2).join(some, F.col("id") == F.col("word"), "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
     # as many rows as the set has words, whatever the benchmark
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda s: s["v"]).alias("bits"))
@@ -61,9 +65,13 @@ def hash_set(windows: DataFrame) -> DataFrame:
 
 def _hits(w: Column, n: int, bits: Column, lens: list[int]) -> Column:
     """Structs (from, past, win) at each position whose n-word anchor is in the set, one for each length that fits."""
-    has = lambda h: (lambda a, b: a & b)(*[F.call_function("shiftright", F.get(bits, x), y).bitwiseAND(F.lit(1)) == 1 for x, y in _places(h)])
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: _anchor(w, i, n))
-    at = F.array_compact(F.transform(hashes, lambda h, i: F.when(has(h), i)))
+    # the first test is cheap and fails nearly everywhere; only where it holds are the two bits computed
+    def has(i: Column) -> Column:
+        words = _first(w, i, n)
+        word = F.get(bits, _place(words))
+        return (word != 0) & let(_bits(words), lambda b: word.bitwiseAND(b) == b)
+
+    at = F.filter(F.sequence(F.lit(0), F.size(w) - n), has)
 
     def spans(i: Column) -> Column:
         every = F.array(*[F.struct(i.alias("from"), (i + k).alias("past"), F.array_join(F.slice(w, i + 1, F.lit(k)), " ").alias("win")) for k in lens])
