@@ -247,3 +247,17 @@ def test_long_runs_of_repeated_lines(spark):
         want[i] = (len(x), len(cut), "\n".join(v for p, v in enumerate(x) if p not in cut))
     got = line_dedup.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in got} == want
+
+
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    """As a table, rules give what they give as one expression; ties go alike."""
+    rng = random.Random(5)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net"], ["/", "/en/", "/en/a", "/f", ""]
+    rules = tuple(url_filters.Rule(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(40))
+    urls = [f"http://{rng.choice(['', 'w.'])}{rng.choice([*hosts, 'q.org', 'ya.com'])}{rng.choice([*paths, '/en/ab?x', '/g'])}" for _ in range(150)] + [None, "none", "http://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    links = spark.createDataFrame([(rng.choice(urls[:150]), rng.choice(urls[:150])) for _ in range(40)], "src string, dst string")
+    judge = lambda: sorted(map(tuple, url_filters.filter_urls(pages, rules, links, html=None).collect()))
+    want = judge()
+    monkeypatch.setattr(url_filters, "MAX_RULES", 3)
+    assert judge() == want and len({r[5] for r in want}) == 3

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _print(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long")).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _print(edges: DataFrame) -> tuple[int, int, int]:
+    """Number of edges and two independent hashes over all of them, 64 and some 20 bits wide."""
+    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64(F.lit(17), "a", "b") % 1_000_003).alias("h")).first()
+    return row["n"], row["x"] or 0, row["h"] or 0
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, written
+from .common import ROW, ascii_lower, let, numbered, written
 from .graph import connected_components
 
 ALLOW, BLOCK = "allow", "block"
@@ -35,7 +35,7 @@ RULES = (
     Rule("net", "/es/", BLOCK),
     Rule("net", "/fr/", BLOCK),
 )
-#: A rule list is compiled into one expression up to this many rules.
+#: A rule list is compiled into one expression up to this many rules; a longer one is joined as a table.
 MAX_RULES = 2000
 
 
@@ -55,8 +55,6 @@ def path_of(url: Column) -> Column:
 
 def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """The longest fitting rule as struct (rule, verdict), or null. Ties: the last in text order; of equal texts, allow."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are compiled into one expression")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text, r.verdict == ALLOW)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
@@ -64,6 +62,23 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def with_rule(rows: DataFrame, host: str, path: str, rules: tuple[Rule, ...], name: str) -> DataFrame:
+    """rows with the column `name`: the longest fitting rule of each, as matched_rule gives it.
+
+    A long list is a table: each row meets the rules of its host and of the domains above it by equality,
+    and the best of those whose path fits is kept by a grouped maximum.
+    """
+    if len(rules) <= MAX_RULES:
+        return rows.withColumn(name, matched_rule(F.col(host), F.col(path), rules))
+    given = numbered(rows)
+    listed = rows.sparkSession.createDataFrame([(r.host, r.path, len(r.text), r.text, r.verdict == ALLOW, i, r.verdict) for i, r in enumerate(rules)], "__h string, __p string, n int, rule string, allow boolean, i int, verdict string")
+    parts = F.split(host, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    met = given.select(ROW, F.col(path).alias("__path"), F.explode(above).alias("__h")).join(listed, "__h").where(F.startswith("__path", F.col("__p")))
+    best = met.groupBy(ROW).agg(F.max(F.struct("n", "rule", "allow", "i", "verdict")).alias("m")).select(ROW, F.struct("m.rule", "m.verdict").alias(name))
+    return given.join(best, ROW, "left").drop(ROW)
+
+
 def node_of(url: Column) -> Column:
     """A URL without its fragment and with a lower-case host: what redirects and links name."""
     return let(url, _node)
@@ -123,15 +138,15 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: Da
     if redirects is not None:
         edges.append(redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")))
     judged = own.select("k", "u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
-    judged = judged.withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
+    judged = with_rule(judged, "host", "path", rules, "m")
     blocked = None
     if edges:
         e = edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])
         e = written(e, "links").where("src <> dst").distinct()
         if not e.isEmpty():
             comp = written(connected_components(e, "src", "dst"), "aliases")
-            rule = matched_rule(host_of(F.col("node")), path_of(F.col("node")), rules)
-            bad = comp.where(rule["verdict"] == BLOCK).select("component").distinct()
+            named = with_rule(comp.select("component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), "host", "path", rules, "m")
+            bad = named.where(F.col("m.verdict") == BLOCK).select("component").distinct()
             blocked = comp.join(bad, "component", "left_semi").select(F.col("node"), F.lit(True).alias("hit"))
     if blocked is None:
         judged = judged.withColumn("hit", F.lit(None).cast("boolean"))
