@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, packing.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() writes
-each stage's result as Parquet to the shared folder and hands it to the next stage. All stages but the
-last return the columns of documents, extra columns included.
+each stage's result as Parquet to the shared folder, deletes what the stage wrote on its way, and hands the
+result to the next stage. All stages but the last return the columns of documents, extra columns included.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.llm import decontamination, jaccard_join, language_id, line_dedup, packing
-from veinstone.llm.common import ROW, numbered, written
+from veinstone.llm.common import ROW, numbered
 from veinstone.llm.queries import table, tokenizer_path
+from veinstone.storage import written_alone
 
 #: Near copies share four fifths of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -78,5 +79,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
