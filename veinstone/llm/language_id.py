@@ -138,7 +138,10 @@ def sample_ids(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod(F.col("doc_id"), FOLDS) != 0))
     ids = written(rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct(), "ids")
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    most = per_lang(sizes.count())
+    langs = sizes.count()
+    most = per_lang(langs)
+    # broadcast while there are few languages, so that ids are thinned where they are read
+    sizes = F.broadcast(sizes) if langs <= SAMPLE else sizes
     share = F.col("h") / F.lit(2.0**64) + 0.5
     thin = ids.join(sizes, "lang").where(share * F.col("n") <= 2 * most + 20)
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
