@@ -9,7 +9,7 @@ are alike move as one run. The executors then look every piece's rank among its
 from __future__ import annotations
 
 import json
-import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -53,7 +53,7 @@ def cut_at_space(form: dict) -> bool:
     )
 
 
-class WordTokens:
+class WordTokens(dict):
     """Token ids of a text as little-endian 32-bit bytes, as the tokenizer's own encode gives them.
 
     Where the tokenizer's file shows that white space always parts tokens, a text is split there, and a
@@ -69,9 +69,8 @@ class WordTokens:
         self.by_chunk = cut_at_space(form)
         added = form.get("added_tokens") or []
         self.by_chunk &= not any(x["normalized"] for x in added)
-        self.added = re.compile(b"|".join(re.escape(x["content"].encode()) for x in added)) if added else None
+        self.added = [x["content"].encode() for x in added]
         self.model, self.normal, self.pre = self.tok.model, self.tok.normalizer, self.tok.pre_tokenizer
-        self.cache: dict[bytes, bytes] = {}
 
     def _ids(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters are one pre-token and stand for themselves
@@ -82,25 +81,20 @@ class WordTokens:
         else:
             text = self.normal.normalize_str(chunk.decode())
             ids = [t.id for piece, _ in self.pre.pre_tokenize_str(text) for t in self.model.tokenize(piece)]
-        return np.array(ids, "<u4").tobytes()
-
-    def __getitem__(self, chunk: bytes) -> bytes:
-        got = self.cache.get(chunk)
-        if got is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            got = self.cache[chunk] = self._ids(chunk)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        got = self[chunk] = self._ids(chunk)
         return got
 
     def encode(self, text: bytes) -> bytes:
-        if not self.by_chunk or (self.added and self.added.search(text)):
+        if not self.by_chunk or any(x in text for x in self.added):
             return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        # outside ASCII, lower-casing before composing letters would not give the same letters
-        chunks, cache = (text.lower() if text.isascii() else text).split(), self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            return b"".join([self[c] for c in chunks])
+        # before a combining mark (U+0300 to U+037F), a letter may not be lower-cased: it is composed first
+        chunks = (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+        return b"".join([self[c] for c in chunks])
 
 
 _tokens: dict[str, WordTokens] = {}
