@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_brute import components, shingles
-from veinstone.llm import decontamination, jaccard_join, language_id, line_dedup, url_filters
+from veinstone.llm import decontamination, jaccard_join, language_id, line_dedup, url_filters, warc_zip
 
 
 def test_jaccard_keeps_members_that_no_hub_was_compared_with(spark):
@@ -261,3 +261,15 @@ def test_long_rule_lists_are_joined(spark, monkeypatch):
     want = judge()
     monkeypatch.setattr(url_filters, "MAX_RULES", 3)
     assert judge() == want and len({r[5] for r in want}) == 3
+
+
+def test_archives_of_few_bytes(spark, monkeypatch):
+    """Many packages, and ranges that hold one record or several."""
+    rows = [(i, f"http://h/{i}", "x" * (i % 5 * 400) + ("same" * 300 if i % 4 == 0 else str(i))) for i in range(120)] + [(200, None, None), (201, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    read = lambda: sorted(map(str, warc_zip.round_trip(spark, pages).drop("url").collect()))
+    want = read()
+    for package, part in ((3_000, 200), (6_000, 1_500), (2_000, 1 << 20)):
+        monkeypatch.setattr(warc_zip, "PACKAGE_BYTES", package)
+        monkeypatch.setattr(warc_zip, "READ_BYTES", part)
+        assert read() == want and len(want) == len(rows)

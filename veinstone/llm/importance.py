@@ -102,8 +102,7 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[int, int]:
 def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, seed: int = SEED) -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_key, selected) for every document.
 
-    log_weight is the log ratio summed over the text's features; quality, its mean, does not depend on
-    length. The sample has round(fraction * rows) rows: those with the largest log_weight + Gumbel noise,
+    log_weight is the log ratio summed over the text's features. The sample has round(fraction * rows) rows: those with the largest log_weight + Gumbel noise,
     where the noise comes from a hash of the id and the seed, so a rerun selects the same rows. Ties of
     the key go to the smaller doc_id hash. Null or empty text has no features and weight 0. The target is
     text labelled quality 1 and not toxic; without such labels every ratio is 0. Repeated rows get the
