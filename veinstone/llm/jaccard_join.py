@@ -40,7 +40,7 @@ from .graph import connected_components
 
 SHINGLE, PERCENT = 3, 90
 #: Shingles a chunk, documents a chunk at most, and distinct entries a bucket of the hash space.
-CHUNK, CHUNK_DOCS, BUCKET = 1 << 20, 60_000, 1 << 21
+CHUNK, CHUNK_DOCS, BUCKET = 1 << 20, 60_000, 1 << 20
 #: Hub rounds before the block join, and the width of a size block.
 HUBS, BLOCK_RATIO = 2, 1.03
 _BITS, _MANY = 56, 65535
