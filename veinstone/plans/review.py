@@ -12,7 +12,7 @@ from ..operators import linking, taxonomy
 #: Candidates that a mapping lists at most, of each kind.
 LISTED = 40
 #: Characters of a name after an underscore by which methods and symbols are brought together.
-_KEY = 3
+_KEY = 12
 CALL = r"\b(?:sub_[0-9A-Fa-f]+|[A-Za-z_][A-Za-z0-9_:]*)\s*\("
 
 
