@@ -3,8 +3,10 @@
 import json
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from veinstone import queries, stage_queries
 from veinstone.operators import linking, ranking, scoring
 from veinstone.plans import code_index, native, packet, review
 from veinstone.sources import archives as src
@@ -52,6 +54,24 @@ def test_bridge_map_equals_the_pairwise_loop(spark):
     assert seen == want and len(got) == len(want)
 
 
+def test_bridge_map_counts_what_its_lists_leave_out(spark, tmp_path):
+    spark.range(12).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(131).toDF("s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for name in ("part", "supplier"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = stage_queries.q_bridge_map(spark, str(tmp_path)).collect()
+    assert max(r["n_symbols"] for r in got) == 42  # run1: 1, 10 to 19, 100 to 130
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(queries.ORACLE_SQL["q_bridge_map"]).fetchall()))
+    # two rows of one file, its lists cut; a library that shares two stems with the file counts once
+    files = [("F", "q", "C", ["run"], []), ("F", "q", "C", ["run"], []), ("G", "", "", [], ["a", "b"])]
+    symbols = [("/l/liba.so", "libb.so", "x86", f"Java_q_C_run__{i}", None, i) for i in range(7)]
+    units = [(f"u{i}", "native_library", "liba.so", "/l/libb.so", "x86", 1, i) for i in range(3)]
+    rows = review.bridge_map(spark.createDataFrame(files, FILE), spark.createDataFrame(symbols, SYMBOL), spark.createDataFrame(units, UNIT), 5).collect()
+    seen = sorted((r["java_file"], len(r["candidate_symbols"]), r["n_symbols"], len(r["matched_native_libraries"]), r["n_libraries"], r["n_targets"]) for r in rows)
+    assert seen == [("F", 5, 7, 0, 0, 0), ("F", 5, 7, 0, 0, 0), ("G", 5, 7, 5, 6, 0)]
+
+
 def test_decisions(spark):
     rows = lambda *x: spark.createDataFrame(list(x), "kind string, score int, capabilities array<string>")
     decide = lambda df, tool="rizin": tuple(native.decompile_decision(df, tool).first())

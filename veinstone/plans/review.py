@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import hashing, rules, text
 from ..operators import linking, taxonomy
 
-#: Candidates that a mapping lists at most, of each kind.
+#: Candidates that a mapping lists at most, of each kind; beside the lists it counts them all.
 LISTED = 40
 #: Characters of a name after an underscore by which methods and symbols are brought together.
 _KEY = 12
@@ -34,21 +36,30 @@ def _name_keys(name: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.when(F.length(name) > 0, at), lambda i: F.array(*[F.substr(name, i + 1, F.lit(k)) for k in range(1, _KEY + 1)]))))
 
 
-def _candidates(rows: DataFrame, named: DataFrame, limit: int) -> DataFrame:
-    """(file, pos, found): for each claim the first `limit` of named(name, stems, ord, value) that may implement it.
+def _listed(pairs: DataFrame, by: str, order: Sequence[str], limit: int, name: str) -> DataFrame:
+    """(by, name, n_name): for each `by` the first `limit` values in order, and how many there are in all."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    first = pairs.withColumn("n", n).where(F.col("n") <= limit)
+    first = first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda s: s["value"]).alias(name))
+    return pairs.groupBy(by).agg(F.count("*").alias(f"n_{name}")).join(first, by, "left")
+
+
+def _candidates(wanted: DataFrame, named: DataFrame) -> DataFrame:
+    """(want, ord, value): for each want(method, expected, stems) all rows of named(name, stems, ord, value) that may implement it.
 
     A method is compared only with names that have its first characters after an underscore, whatever the
     number of names; libraries that the file loads must agree where it loads any.
     """
+    rows = wanted.select("want", "want.*")
+    named = named.withColumnRenamed("stems", "lib")
     start = F.substr("method", F.lit(1), F.least(F.length("method"), F.lit(_KEY)))
-    keyed = named.select("name", F.col("stems").alias("lib"), "ord", "value", F.explode(_name_keys(F.col("name"))).alias("key"))
+    keyed = named.select("name", "lib", "ord", "value", F.explode(_name_keys(F.col("name"))).alias("key"))
     agrees = (F.size("stems") == 0) | F.arrays_overlap("stems", "lib")
-    by_name = rows.where("method <> ''").select("file", "pos", "method", "expected", "stems", start.alias("key")).join(keyed, "key")
-    by_name = by_name.where(agrees & linking.symbol_matches(F.col("name"), F.col("method"), F.col("expected"))).select("file", "pos", "ord", "value")
-    loaded = rows.where("method is null").select("file", "pos", F.explode("stems").alias("stem")).join(named.select(F.explode("stems").alias("stem"), "ord", "value"), "stem").select("file", "pos", "ord", "value").distinct()
-    w = Window.partitionBy("file", "pos").orderBy("ord")
-    first = by_name.unionByName(loaded).withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
-    return first.groupBy("file", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda s: s["value"]).alias("found"))
+    by_name = rows.where("method <> ''").select("*", start.alias("key")).join(keyed, "key")
+    by_name = by_name.where(agrees & linking.symbol_matches(F.col("name"), F.col("method"), F.col("expected")))
+    loaded = rows.where("method is null").select("want", "stems", F.explode("stems").alias("stem")).join(named.select("lib", F.explode("lib").alias("stem"), "ord", "value"), "stem")
+    loaded = loaded.where(F.get(F.array_intersect("stems", "lib"), F.lit(0)) == F.col("stem"))  # once, of however many common stems
+    return by_name.select("want", "ord", "value").unionByName(loaded.select("want", "ord", "value"))
 
 
 def bridge_map(files: DataFrame, symbols: DataFrame, units: DataFrame, limit: int = LISTED) -> DataFrame:
@@ -56,24 +67,26 @@ def bridge_map(files: DataFrame, symbols: DataFrame, units: DataFrame, limit: in
 
     symbols(library, library_name, abi, symbol, address, ord); units(unit_id, kind, name, library, abi,
     score, ord) of the kinds native_library, native_target and manual_ida_function. confidence: candidate
-    if there is a symbol or target, else library_only.
+    if there is a symbol or target, else library_only. n_libraries, n_symbols and n_targets count all that
+    there are, listed or not. What a claim finds depends on its names and libraries alone, so equal claims
+    of many files are looked up once.
     """
-    rows = claims(files)
+    rows = claims(files).withColumn("want", F.struct("method", "expected", "stems"))
+    wanted = rows.select("want").distinct()
     value = F.struct("library", "library_name", "abi", "symbol", "address")
     syms = symbols.select(F.col("symbol").alias("name"), _stems(F.col("library_name"), F.col("library")).alias("stems"), "ord", value.alias("value"))
     targets = units.where("kind in ('native_target', 'manual_ida_function')").select("name", _stems(F.col("library")).alias("stems"), "ord", F.struct("unit_id", "library", "name", "abi", "score").alias("value"))
     libs = units.where("kind = 'native_library'").select(F.explode(_stems(F.col("name"), F.col("library"))).alias("stem"), "ord", F.struct("unit_id", "name", "library", "abi").alias("value"))
-    wanted = rows.select("file", "stems").distinct().select("file", F.explode("stems").alias("stem")).distinct()
-    w = Window.partitionBy("file").orderBy("stem", "ord")
-    matched = wanted.join(libs, "stem").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
-    matched = matched.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda s: s["value"]).alias("libs"))
-    at = ["file", "pos"]
-    found = rows.join(_candidates(rows, syms, limit).withColumnRenamed("found", "syms"), at, "left").join(_candidates(rows, targets, limit).withColumnRenamed("found", "tgts"), at, "left").join(matched, "file", "left")
+    matched = rows.select("stems").distinct().select("stems", F.explode("stems").alias("stem")).join(libs, "stem")
+    found = rows.join(_listed(_candidates(wanted, syms), "want", ["ord"], limit, "syms"), "want", "left").join(_listed(_candidates(wanted, targets), "want", ["ord"], limit, "tgts"), "want", "left")
+    found = found.join(_listed(matched, "stems", ["stem", "ord"], limit, "libs"), "stems", "left")
     listed = lambda c: F.coalesce(c, F.array())
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return found.select(
         F.col("file").alias("java_file"), "package", "class_name", F.col("method").alias("native_method"), F.col("expected").alias("expected_jni_prefix"), "load_libraries",
         listed(F.col("libs")).alias("matched_native_libraries"), listed(F.col("syms")).alias("candidate_symbols"), listed(F.col("tgts")).alias("candidate_native_targets"),
-        F.when(F.col("syms").isNotNull() | F.col("tgts").isNotNull(), "candidate").otherwise("library_only").alias("confidence"),
+        F.when(F.col("n_syms").isNotNull() | F.col("n_tgts").isNotNull(), "candidate").otherwise("library_only").alias("confidence"),
+        n(F.col("n_libs")).alias("n_libraries"), n(F.col("n_syms")).alias("n_symbols"), n(F.col("n_tgts")).alias("n_targets"),
     )
 
 

@@ -343,7 +343,7 @@ def q_bridge_map(spark: SparkSession, d: str) -> DataFrame:
     symbols = libs.select(name.alias("library"), name.alias("library_name"), F.lit("x86").alias("abi"), F.concat(F.lit("Java_q_C_run"), s).alias("symbol"), F.lit(None).cast("string").alias("address"), s.alias("ord"))
     units = libs.select(F.concat(F.lit("u"), s).alias("unit_id"), F.lit("native_library").alias("kind"), name.alias("name"), name.alias("library"), F.lit("x86").alias("abi"), F.lit(1).alias("score"), s.alias("ord"))
     got = review.bridge_map(files, symbols, units)
-    return got.select("java_file", "native_method", "expected_jni_prefix", F.size("matched_native_libraries").cast("long").alias("n_libraries"), F.size("candidate_symbols").cast("long").alias("n_symbols"))
+    return got.select("java_file", "native_method", "expected_jni_prefix", "n_libraries", "n_symbols")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity <= 45 AS ok, CASE WHEN l_quantity > 48 THEN 'Timed out' WHEN l_quantity > 46 THEN 'library_not_found' WHEN l_quantity > 45 THEN 'crash' END AS error, CAST(l_quantity AS INT) AS ins, l_linenumber AS blk FROM lineitem)
