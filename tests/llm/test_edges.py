@@ -1,9 +1,13 @@
 """Every corpus operator on nulls, empty and long texts, ties, repeated rows, empty tables and odd columns."""
 
+from pathlib import Path
+
+import numpy as np
 import pytest
 
 from veinstone.llm import decision_lists, decontamination, deleted_interpolation, importance, jaccard_join, language_id, line_dedup, packing, url_filters, warc_zip
 from veinstone.llm.queries import tokenizer_path
+from veinstone.storage import shared_dir
 
 KIND = "doc_id long, text string, lang string, w long, rid string, print string, `a.b` string"
 LONG = "word " * 30_000 + "\n" + "eins zwei drei vier\n" * 300
@@ -104,6 +108,28 @@ def test_packing(spark, docs, none):
         assert at <= packing.CAPACITY
 
 
+def test_packing_writes_few_files_and_keeps_no_long_word(spark, docs):
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "veinstone"
+    before = set(folder.glob("lengths-*"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = packing.pack(docs.union(docs.selectExpr("doc_id", "repeat(concat(text, ' w '), 1 + doc_id) text", *docs.columns[2:4], "rid", "print", "`a.b`")), tokenizer_path())
+        (lengths,) = set(folder.glob("lengths-*")) - before
+        assert len(list(lengths.glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
+        ends = sorted((r["sequence_id"], r["offset"], r["offset"] + r["length"]) for r in got.collect())
+        assert all(a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(ends, ends[1:], strict=False)) and len(ends) >= 2 * docs.count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    tokens = packing.WordTokens(tokenizer_path())
+    texts = ["ab " + "x1-" * 1000 + " cd", "y" * 3000 + ".", "été" * 500]
+    assert [list(np.frombuffer(tokens.encode(t.encode()), "<u4")) for t in texts] == [tokens.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, tokens)) <= packing.CACHE_BYTES
+
+
 def test_jaccard(spark, docs, none):
     out = jaccard_join.jaccard_components(docs)
     assert ids(out) == WANT

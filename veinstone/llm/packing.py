@@ -26,8 +26,9 @@ from .common import written
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Words kept in a worker's cache of token ids.
+#: Words kept in a worker's cache of token ids, and the bytes that a word has at most to be kept.
 CACHE_WORDS = 400_000
+CACHE_BYTES = 64
 
 
 #: Normalizer steps and splitting pattern of tokenizers whose texts may be cut at white space.
@@ -84,6 +85,8 @@ class WordTokens(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if len(chunk) > CACHE_BYTES:
+            return self._ids(chunk)
         if len(self) >= CACHE_WORDS:
             self.clear()
         got = self[chunk] = self._ids(chunk)
@@ -212,7 +215,9 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     """
     ship_package(docs.sparkSession)
     pieces = written(cut_pieces(docs, tokenizer_path, key, text, capacity), "pieces")
-    per = written(pieces.groupBy("chunk", "length").agg(F.count("*").alias("n")), "lengths")
+    # a few numbers a task: files for as many tasks as run at once, not for every shuffle partition
+    per = pieces.groupBy("chunk", "length").agg(F.count("*").alias("n"))
+    per = written(per.coalesce(docs.sparkSession.sparkContext.defaultParallelism), "lengths")
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = np.array(plan_counts(counts, capacity), np.int64).reshape(-1, 6)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
